@@ -1,6 +1,16 @@
 """The training-data operators' queries, and the DuckDB equivalents of those that SQL can express."""
 
-from . import jaccard
+from . import chat, jaccard, licenses, packing, tokenids
 
-QUERIES = {"op1_jaccard_components": jaccard.op1_jaccard_components}
-ORACLES = {"op1_jaccard_components": jaccard.ORACLE_OP1}
+QUERIES = {
+    "op1_jaccard_components": jaccard.op1_jaccard_components,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op6_token_ids": tokenids.op6_token_ids,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_chat_snapshots": chat.op10_chat_snapshots,
+}
+ORACLES = {
+    "op1_jaccard_components": jaccard.ORACLE_OP1,
+    "op4_license_scan": licenses.ORACLE_OP4,
+    "op10_chat_snapshots": chat.ORACLE_OP10,
+}
