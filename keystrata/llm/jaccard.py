@@ -9,17 +9,19 @@ classes of equal sets, and in these steps:
    |x| - ceil(0.8 |x|) + k first of their sets in any global order.  In hash order, with k
    a tenth of the set, those prefixes are dealt out by shingle; a class with too few
    shingles that another class has too can link with nothing and goes.
-3. The whole sets of what is left are ordered from rare to frequent by a fixed-size
-   count sketch over all of them (any function of the shingle is a valid global order, so
-   the sketch only saves work).  Classes that share a shingle in their k = 1 prefixes are
-   candidates; their connected components are candidate clusters.
+3. The whole sets of what is left are dealt out by shingle once more and every shingle
+   gets its exact number of classes, which is the global order: rare first.  Shingles of one
+   class match nothing, so a class with fewer than ceil(0.8 |x|) others goes.  Classes
+   that share a shingle in their k = 1 prefixes are candidates; their connected
+   components are candidate clusters.
 4. Each cluster is joined in a prefix tree, sets ordered from frequent to rare so that
    they share paths.  A traversal carries the partial overlap down and leaves a subtree when
    that plus the shorter remaining length can't reach the overlap that is needed.
 5. A cluster beyond ``BLOCK`` classes is first joined in two independent random
-   blockings.  Then, for every posting list that still holds more than one component, its
-   members outside the list's largest component are joined with all its others, block by
-   block.  No pair of a list with different components is left out, so the result is exact.
+   blockings.  Then its members outside its largest component so far are joined with all
+   its others, block by block; in a cluster beyond ``GRID`` blocks that is done within
+   each posting list instead.  No pair with a common posting list and different components is
+   left out, so the result is exact.
 
 Null and empty texts, and texts of white space, have no shingles and link with nothing.
 """
@@ -40,7 +42,7 @@ from .textops import mix, shingle_sets, slices
 
 NUM, DEN = 4, 5
 BLOCK = 512
-SKETCH_BITS = 18
+GRID = 64
 BLOOM_BITS = 25
 BLOOM_ROWS = 1 << 22  # beyond it the candidates' texts are found by a shuffled semi-join
 _U = np.uint64
@@ -72,20 +74,23 @@ def _profiles(n: int):
     return run
 
 
+def _dealt(keys: list[np.ndarray], owners: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """(shingle, owner) pairs packed into one row for each bucket of shingles."""
+    k, o = np.concatenate(keys), np.concatenate(owners)
+    b = (k % _U(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    k, o, b = k[order], o[order], b[order]
+    cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+    blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (k, o)]
+    return pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]], pa.int64()), *blobs], ["bucket", "keys", "owners"])
+
+
 def _prefixes(n: int, buckets: int):
     """Packed (shingle, class) of the filter's prefixes, a blob for each bucket of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = [], [], 0
 
-        def flush():
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            b = (k % _U(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            k, o, b = k[order], o[order], b[order]
-            cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-            return pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]], pa.int64()), pa.array([k[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()), pa.array([o[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "keys", "owners"])
-
         for batch in batches:
             for part in slices(batch, "text"):
                 for s in shingle_sets(part.column("text"), n):
@@ -95,10 +100,10 @@ def _prefixes(n: int, buckets: int):
                         owners.append(np.full(p, short(digest(s)), np.int64))
                         held += p
                 if held >= 1 << 21:
-                    yield flush()
+                    yield _dealt(keys, owners, buckets)
                     keys, owners, held = [], [], 0
         if held:
-            yield flush()
+            yield _dealt(keys, owners, buckets)
 
     return run
 
@@ -166,57 +171,62 @@ def _sets(n: int, bloom):
     return run
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """How often shingles with the same top bits occur in all the sets: 2**18 counters."""
-    size = 1 << SKETCH_BITS
+def _whole(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+        for batch in batches:
+            for cid, b in zip(batch.column("cid").to_pylist(), batch.column("hashes").to_pylist()):
+                keys.append(np.frombuffer(b, np.uint64))
+                owners.append(np.full(len(keys[-1]), cid, np.int64))
+                held += len(keys[-1])
+                if held >= 1 << 21:
+                    yield _dealt(keys, owners, buckets)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield _dealt(keys, owners, buckets)
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, some = np.zeros(size, np.int64), False
-        for f in frames:
-            for b in f["hashes"]:
-                counts += 0 if not b else np.bincount((np.frombuffer(b, np.uint64) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size) if len(b) > 1 << 18 else 0
-                if b and len(b) <= 1 << 18:
-                    np.add.at(counts, (np.frombuffer(b, np.uint64) >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            some |= len(f) > 0
-        if some:
-            at = np.flatnonzero(counts)
-            for i in range(16):
-                own = at[(at >= i * size // 16) & (at < (i + 1) * size // 16)]
-                yield pd.DataFrame({"slice": [i], "at": [own.astype(np.int32).tobytes()], "n": [counts[own].tobytes()]})
+    return run
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
-        for a, c in zip(pdf["at"], pdf["n"]):
-            total[np.frombuffer(a, np.int32)] += np.frombuffer(c, np.int64)
-        at = np.flatnonzero(total)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "at": [at.astype(np.int32).tobytes()], "n": [total[at].tobytes()]})
 
-    schema = "slice int, at binary, n binary"
-    out = np.zeros(size, np.int64)
-    for r in sets.select("hashes").mapInPandas(part, schema).groupBy("slice").applyInPandas(merge, schema).collect():
-        out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
-    return np.log2(out + 1).astype(np.uint8)
+def _counted(buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one bucket of shingles: those of several classes with their number, packed by buckets of classes."""
+        k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+        o = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
+        order = np.argsort(k, kind="stable")
+        k, o = k[order], o[order]
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        df = np.repeat(np.diff(cuts), np.diff(cuts))
+        k, o, df = k[df > 1], o[df > 1], df[df > 1]
+        b = (mix(o.view(np.uint64)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        k, o, df, b = k[order], o[order], df[order], b[order]
+        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else [0]
+        rows = [(int(b[i]), k[i:j].tobytes(), o[i:j].tobytes(), df[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=["bucket", "keys", "owners", "counts"])
 
+    return run
 
-def rare_first(s: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """A set in the global order: by grade of its sketch counter, then by hash."""
-    return s[np.argsort(grade[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of classes: each with its shared shingles, rare first."""
+    k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+    o, df = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("owners", "counts"))
+    order = np.lexsort((k, df, o))
+    k, o = k[order], o[order]
+    cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]]))
+    return pd.DataFrame({"cid": o[cuts[:-1]], "shared": np.diff(cuts), "tokens": [k[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]})
 
-def _postings(grade):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = grade.value
-        for f in frames:
-            keys, who = [], []
-            for cid, n, b in zip(f["cid"], f["n"], f["hashes"]):
-                if n:
-                    p = int(n) - -(-NUM * int(n) // DEN) + 1
-                    keys.append(rare_first(np.frombuffer(b, np.uint64), g)[:p].view(np.int64))
-                    who.append(np.full(p, cid, np.int64))
-            if keys:
-                yield pd.DataFrame({"token": np.concatenate(keys), "cid": np.concatenate(who)})
 
-    return run
+def _postings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The k = 1 prefixes; the shingles that no other class has come first in them and match nothing."""
+    for f in frames:
+        keys, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cid, n, m, b in zip(f["cid"], f["n"], f["shared"], f["tokens"]):
+            p = int(n) - -(-NUM * int(n) // DEN) + 1 - (int(n) - int(m))
+            keys.append(np.frombuffer(b, np.int64)[:p])
+            who.append(np.full(len(keys[-1]), cid, np.int64))
+        yield pd.DataFrame({"token": np.concatenate(keys), "cid": np.concatenate(who)})
 
 
 class PrefixTree:
@@ -266,7 +276,10 @@ class PrefixTree:
         self.at = np.concatenate([[0], np.cumsum([len(edge[i]) for i in rank])])
         self.ends = [ends[i] for i in rank]
         self.last = np.array([edge[i][-1] if len(edge[i]) else -1 for i in rank])
-        self.kids = [np.array([new[j] for j in kids[i]], dtype=np.int64) for i in rank]
+        # In order of depth the children of a node stand in a row.
+        self.n_kids = np.array([len(kids[i]) for i in rank])
+        self.first_kid = 1 + np.cumsum(self.n_kids) - self.n_kids
+        self.is_end = np.array([bool(e) for e in self.ends])
         low, high = np.full(len(rank), 1 << 60), np.zeros(len(rank), np.int64)
         for i in range(len(rank) - 1, -1, -1):
             if self.ends[i]:
@@ -281,12 +294,12 @@ class PrefixTree:
         n = len(x)
         nodes, got = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while len(nodes):
-            for i, o in zip(nodes, got):
-                if self.ends[i] and DEN * o >= NUM * (n + self.depth[i] - o):
-                    yield from self.ends[i]
-            below = [self.kids[i] for i in nodes]
-            had = np.repeat(got, [len(k) for k in below])
-            nodes = np.concatenate(below)
+            done = self.is_end[nodes] & (DEN * got >= NUM * (n + self.depth[nodes] - got))
+            for i in nodes[done]:
+                yield from self.ends[i]
+            count = self.n_kids[nodes]
+            had = np.repeat(got, count)
+            nodes = np.repeat(self.first_kid[nodes] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             if not len(nodes):
                 return
             # Sizes first: a subtree without a set of a fitting size isn't read.
@@ -345,12 +358,12 @@ def _tree_join(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
 
-def _rest(spark, posts: DataFrame, big: DataFrame, sets: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """For the lists of large clusters: members outside a list's largest component, joined with all its others."""
-    own = posts.join(big.select("cid"), "cid", "left_semi").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+def _rest(lists: DataFrame, sets: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
+    """For lists (token, cid): members outside a list's largest component, joined with all its others."""
+    own = lists.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lists = own.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.xxhash64("cid", F.lit(7)).cast("decimal(38,0)")).alias("s")).where("a <> b")
     lists = lists.groupBy("size", "x", "s").agg(F.min("token").alias("token"))  # equal lists once
-    own = own.join(lists.select("token", "size"), "token")
+    own = own.join(lists.select("token"), "token", "left_semi")
     sizes = own.groupBy("token", "label").agg(F.count("*").alias("c"))
     most = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
     own = scratch.table(own.join(most, "token").withColumn("asks", F.col("label") != F.col("most")), "open-lists")
@@ -389,9 +402,13 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     else:
         sets = texts.join(candidates.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(n, None), "cid long, n long, hashes binary")
     sets = scratch.table(sets.where("n > 0"), "sets")
-    grade = spark.sparkContext.broadcast(_sketch(sets))
-    posts = sets.repartition(parts).mapInPandas(_postings(grade), "token long, cid long")
-    posts = scratch.table(posts, "posts")
+    packed = "bucket long, keys binary, owners binary"
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(parts, int(size) >> 20)
+    counted = sets.mapInArrow(_whole(buckets), packed).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_counted(buckets), packed + ", counts binary")
+    ordered = counted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_ordered, "cid long, shared long, tokens binary")
+    ordered = ordered.join(sets.select("cid", "n"), "cid").where(F.col("shared") * DEN >= F.col("n") * NUM)
+    posts = scratch.table(ordered.mapInPandas(_postings, "token long, cid long"), "posts")
     heads = posts.groupBy("token").agg(F.min("cid").alias("head"), F.count("*").alias("size")).where("size > 1")
     posts = scratch.table(posts.join(heads.select("token", "head"), "token"), "lists")
     cluster = scratch.table(components(posts.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")), scratch).withColumnsRenamed({"id": "cid", "component": "cluster"}), "clusters")
@@ -401,11 +418,13 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     dealt = sized.select("cid", "cluster", "blocks", F.explode(salts).alias("salt")).withColumn("block", F.pmod(F.xxhash64("cid", "salt"), F.col("blocks")).cast("int"))
     links = dealt.join(sets.select("cid", "hashes"), "cid").groupBy("cluster", "salt", "block").applyInPandas(_tree_join, "u long, v long")
     links = scratch.table(links, "found")
-    big = scratch.table(sized.where("blocks > 1").select("cid"), "big")
+    big = scratch.table(sized.where("blocks > 1").select("cid", "cluster", "blocks"), "big")
     label = components(links, scratch).withColumnsRenamed({"id": "cid", "component": "label"})
     if not big.isEmpty():
         label = scratch.table(label, "label")
-        more = _rest(spark, posts.select("token", "cid"), big, sets, label, scratch)
+        grids = big.where(F.col("blocks") <= GRID).select(F.col("cluster").alias("token"), "cid")
+        lists = posts.join(big.where(F.col("blocks") > GRID).select("cid"), "cid", "left_semi").select("token", "cid")
+        more = scratch.table(_rest(grids, sets, label, scratch).unionByName(_rest(lists, sets, label, scratch)), "more")
         label = components(links.unionByName(more), scratch).withColumnsRenamed({"id": "cid", "component": "label"})
     named = classes.select("digest", "cid").join(label, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"))
     return profile.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
