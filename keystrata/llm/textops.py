@@ -95,8 +95,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and n + 1 offsets of the documents into them."""
+def located_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, n + 1 offsets of the documents into them, and each word's first byte."""
     parts, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     cuts = _cuts(data, offsets, CHUNK)
     for a, b in zip(cuts, cuts[1:]):
@@ -112,7 +112,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         h = (sums[e] - sums[s]) * _power("down", _INVERSE, len(part))[s]
         parts.append(mix(h + (e - s).astype(np.uint64)))
         starts.append(s + a)
-    return np.concatenate(parts), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
+    first = np.concatenate(starts)
+    return np.concatenate(parts), np.searchsorted(first, offsets).astype(np.int64), first
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and n + 1 offsets of the documents into them."""
+    return located_words(data, offsets)[:2]
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
