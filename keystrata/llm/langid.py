@@ -32,7 +32,7 @@ WINDOW = 128
 TRAIN_WINDOW = 64
 BATCH = 2048
 SAMPLE = 1500
-EPOCHS = 12
+STEPS = 320
 UND = "und"
 
 
@@ -100,15 +100,14 @@ class Gru:
         g["w1"], g["u1"] = self._backward(x[::-1], 1, b, db[::-1])
         return loss / total, g
 
-    def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.02, seed: int = 1) -> float:
-        """x: N x T bytes; Adam with a falling rate.  Returns the last epoch's loss."""
-        r, step, loss = np.random.default_rng(seed), 0, 0.0
+    def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 1) -> float:
+        """x: N x T bytes; that many steps of Adam with a falling rate.  Returns the mean loss of the last ten."""
+        r, step, losses = np.random.default_rng(seed), 0, []
         m = {k: np.zeros_like(p) for k, p in self.p.items()}
         s = {k: np.zeros_like(p) for k, p in self.p.items()}
-        all_steps = epochs * -(-len(x) // batch)
-        for _ in range(epochs):
-            losses, order = [], r.permutation(len(x))
-            for k in range(0, len(x), batch):
+        while step < steps:
+            order = r.permutation(len(x))
+            for k in range(0, min(len(x), (steps - step) * batch), batch):
                 own = order[k : k + batch]
                 mask = (np.arange(x.shape[1])[:, None] < sizes[own]).astype(np.float32)
                 loss, g = self.gradients(np.ascontiguousarray(x[own].T), mask, y[own])
@@ -119,10 +118,9 @@ class Gru:
                     q = q * min(1.0, 1.0 / (norm + 1e-9))
                     m[k2] = 0.9 * m[k2] + 0.1 * q
                     s[k2] = 0.99 * s[k2] + 0.01 * q * q
-                    down = rate * (1 - step / (all_steps + 1))
+                    down = rate * (1 - step / (steps + 1))
                     self.p[k2] = (self.p[k2] - down * (m[k2] / (1 - 0.9**step)) / (np.sqrt(s[k2] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            loss = float(np.mean(losses))
-        return loss
+        return float(np.mean(losses[-10:]))
 
     def position_sums(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """x: T x B bytes, sizes: B.  Sums over each window's positions of the class probabilities, K x B."""

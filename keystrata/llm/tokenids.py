@@ -278,7 +278,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                     files, path = _filesystem(folder)
                     files.create_dir(path, recursive=True)
                     name = f"ids-{uuid.uuid4().hex}.bin"
-                    out = files.open_output_stream(f"{path}/{name}")
+                    out = files.open_output_stream(f"{path}/{name}", compression=None)
                     writer = IdWriter(out, width)
                 ids, sizes = coder.encode(part.column("text"))
                 ends = np.cumsum(sizes)
