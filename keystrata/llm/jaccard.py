@@ -195,7 +195,7 @@ def _counted(buckets: int):
         o = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
         order = np.argsort(k, kind="stable")
         k, o = k[order], o[order]
-        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
         df = np.repeat(np.diff(cuts), np.diff(cuts))
         k, o, df = k[df > 1], o[df > 1], df[df > 1]
         b = (mix(o.view(np.uint64)) % _U(buckets)).astype(np.int64)
@@ -378,9 +378,12 @@ def _rest(lists: DataFrame, sets: DataFrame, label: DataFrame, scratch: Scratch)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id) of every row.
 
-    doc_id must be unique and not null.  Other columns are neither read nor returned.
+    A row without doc_id links with nothing and has a null component_id.  Equal rows are
+    equal in the result; of different texts under one doc_id each has its own class, and the
+    smallest set among those that are a class's smallest id stands for that id in the
+    join.  Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -388,20 +391,26 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profile = scratch.table(texts.mapInArrow(_profiles(n), "doc_id long, n_shingles long, digest binary, short long"), "profile")
     total = profile.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
+    texts = texts.where("doc_id is not null")
+    classes = profile.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
     buckets = max(parts, int(total * 0.3) // (1 << 20))
     shared = texts.mapInArrow(_prefixes(n, buckets), "bucket long, keys binary, owners binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
     keep = F.col("shared") >= F.ceil(F.ceil(F.col("n") * NUM / DEN) / 10)
     candidates = scratch.table(classes.join(shared, "short").where(keep).select("cid", "n"), "candidates")
     found = candidates.count()
+    named = classes.select("digest", F.col("cid").alias("component"))
+    finish = lambda named: profile.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     if not found:
-        return profile.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return finish(named)
     if found <= BLOOM_ROWS:
         bloom = spark.sparkContext.broadcast(_bloom(candidates))
         sets = texts.mapInArrow(_sets(n, bloom), "cid long, n long, hashes binary")
     else:
         sets = texts.join(candidates.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(n, None), "cid long, n long, hashes binary")
     sets = scratch.table(sets.where("n > 0"), "sets")
+    rows, ids = sets.agg(F.count("*"), F.countDistinct("cid")).first()
+    if rows > ids:  # an id on several rows
+        sets = scratch.table(sets.groupBy("cid").agg(F.min(F.struct("n", "hashes")).alias("s")).select("cid", "s.n", "s.hashes"), "sets")
     packed = "bucket long, keys binary, owners binary"
     size = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts, int(size) >> 20)
@@ -427,7 +436,28 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
         more = scratch.table(_rest(grids, sets, label, scratch).unionByName(_rest(lists, sets, label, scratch)), "more")
         label = components(links.unionByName(more), scratch).withColumnsRenamed({"id": "cid", "component": "label"})
     named = classes.select("digest", "cid").join(label, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"))
-    return profile.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return finish(named)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the ids (one column doc_id, stored): an anti-join.
+
+    While the ids fit the fixed-size filter, only rows that it can't clear are shuffled.
+    """
+    ids = ids.select(F.col("doc_id").cast("long").alias("cid")).where("cid is not null").distinct()
+    anti = lambda d: d.join(ids, d["doc_id"] == ids["cid"], "left_anti")
+    if ids.count() > BLOOM_ROWS:
+        return anti(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+
+    @F.arrow_udf("boolean")
+    def maybe(i: pa.Array) -> pa.Array:
+        packed = np.frombuffer(bits.value, np.uint8)
+        p = _bits(i.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(((packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).reshape(4, -1).all(axis=0))
+
+    hit = maybe(F.col("doc_id").cast("long"))
+    return docs.where(~hit).unionByName(anti(docs.where(hit)))
 
 
 def op1_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,12 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -32,7 +33,7 @@ WINDOW = 128
 TRAIN_WINDOW = 64
 BATCH = 2048
 SAMPLE = 1500
-STEPS = 320
+STEPS = 260
 UND = "und"
 
 
@@ -161,40 +162,46 @@ class Gru:
         return out
 
 
-def _predict(model: Gru | None, classes: list[str]):
+def _label(model: Gru | None, classes: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of every text."""
     names = np.array(classes + [UND], dtype=object)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text")
-                data, offsets = buffers(texts)
-                data, sizes = LOWER[data], np.diff(offsets)
-                windows = -(-sizes // WINDOW)
-                owner = np.repeat(np.arange(len(sizes)), windows)
-                start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
-                length = np.minimum(WINDOW, offsets[owner + 1] - start)
-                sums = np.zeros((len(sizes), max(1, len(classes))))
-                padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-                order = np.argsort(length, kind="stable")
-                for k in range(0, len(owner), BATCH) if model is not None else ():
-                    own = order[k : k + BATCH]
-                    longest = int(length[own].max())
-                    x = padded[start[own] + np.arange(longest)[:, None]]
-                    x[np.arange(longest)[:, None] >= length[own]] = 0
-                    np.add.at(sums, owner[own], model.position_sums(x, length[own]).T)
-                means = sums / np.maximum(sizes, 1)[:, None]
-                best = means.argmax(axis=1)
-                letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-                has = np.diff(letters[offsets]) > 0
-                for i in np.flatnonzero(~has & (sizes > 0)):
-                    has[i] = any(c.isalpha() for c in texts[i].as_py())
-                if model is None:
-                    has[:] = False
-                score = np.where(has, np.minimum(means[np.arange(len(sizes)), best], 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[np.where(has, best, len(classes))], pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return run
+    data, offsets = buffers(texts)
+    data, sizes = LOWER[data], np.diff(offsets)
+    windows = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
+    length = np.minimum(WINDOW, offsets[owner + 1] - start)
+    sums = np.zeros((len(sizes), max(1, len(classes))))
+    padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
+    order = np.argsort(length, kind="stable")
+    for k in range(0, len(owner), BATCH) if model is not None else ():
+        own = order[k : k + BATCH]
+        longest = int(length[own].max())
+        x = padded[start[own] + np.arange(longest)[:, None]]
+        x[np.arange(longest)[:, None] >= length[own]] = 0
+        np.add.at(sums, owner[own], model.position_sums(x, length[own]).T)
+    means = sums / np.maximum(sizes, 1)[:, None]
+    best = means.argmax(axis=1)
+    letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+    has = np.diff(letters[offsets]) > 0
+    for i in np.flatnonzero(~has & (sizes > 0)):
+        has[i] = any(c.isalpha() for c in texts[i].as_py())
+    has &= model is not None
+    score = np.where(has, np.minimum(means[np.arange(len(sizes)), best], 1.0), 0.0)
+    return names[np.where(has, best, len(classes))], score
+
+
+def label(text: Column, model: Gru | None, classes: list[str]) -> Column:
+    """struct(lang_pred, score) of a text column."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [_label(model, classes, part.column("text")) for part in slices(batch, "text")]
+        lang, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return run(text.cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,15 +210,19 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Gru | None, list[str]]:
     """Learn from text and lang of the documents given."""
+    ship(docs.sparkSession)
     h = F.xxhash64("doc_id", F.lit(5))
     # A window somewhere in the text; whole characters, cut to bytes later.
     at = (F.lit(1) + F.pmod(h, F.greatest(F.length("text") - TRAIN_WINDOW, F.lit(1)).cast("long"))).cast("int")
-    from pyspark.sql import Window
-
     rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substr("text", at, F.lit(TRAIN_WINDOW)).alias("part"), h.alias("h"))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rn") <= sample).select("lang", "part").toPandas()
-    if not len(rows):
-        return None, []
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rn") <= sample).select(F.lit(1).alias("g"), "lang", "part")
+    # The bounded sample is learnt from in one task, where numpy has a single thread.
+    got = rows.groupBy("g").applyInPandas(_learn, "model binary").first()
+    return pickle.loads(bytes(got["model"])) if got else (None, [])
+
+
+def _learn(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["lang", "part"])
     classes = sorted(rows["lang"].unique())
     raw = [LOWER[np.frombuffer(t.encode()[:TRAIN_WINDOW], np.uint8)] for t in rows["part"]]
     x = np.zeros((len(raw), TRAIN_WINDOW), np.uint8)
@@ -219,14 +230,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Gru | None, list[str]]
         x[i, : len(r)] = r
     model = Gru(len(classes))
     model.fit(x, np.array([len(r) for r in raw]), rows["lang"].map({c: i for i, c in enumerate(classes)}).to_numpy())
-    return model, classes
+    return pd.DataFrame({"model": [pickle.dumps((model, classes))]})
 
 
 def predict(docs: DataFrame, model: Gru | None, classes: list[str]) -> DataFrame:
     """(doc_id, lang_pred, score) of every text."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_predict(model, classes), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", label(F.col("text"), model, classes).alias("p")).select("doc_id", "p.lang_pred", "p.score")
+
+
+def identified(docs: DataFrame, model: Gru | None, classes: list[str], least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with at least that score."""
+    ship(docs.sparkSession)
+    found = label(F.col("text"), model, classes)
+    return docs.where((found["lang_pred"] != UND) & (found["score"] >= least))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

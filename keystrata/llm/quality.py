@@ -195,13 +195,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, float]]]:
     return b, [(r, float(k)) for r, k in zip(rules, w) if abs(k) > 1e-4]
 
 
-def score_column(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
-    """The model as a Spark expression over the statistics."""
+def score_column(intercept: float, rules: list[tuple[Rule, float]], statistic=F.col) -> Column:
+    """The model as a Spark expression over the statistics; statistic: from a name to its column."""
     z = F.lit(intercept)
     for rule, weight in rules:
         cond = None
         for f, above, t in rule:
-            c = F.col(STATISTICS[f]) > t if above else F.col(STATISTICS[f]) <= t
+            c = statistic(STATISTICS[f]) > t if above else statistic(STATISTICS[f]) <= t
             cond = c if cond is None else cond & c
         z = z + F.when(cond, F.lit(weight)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -225,6 +225,23 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]]) -> Dat
     return s.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
+def _statistics(texts: pa.Array) -> pa.Array:
+    parts = [statistics(p.column("text")) for p in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 2 << 20)]
+    x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+    return pa.StructArray.from_arrays([pa.array(x[:, i]) for i in range(x.shape[1])], list(STATISTICS))
+
+
+def accepted(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold."""
+    ship(docs.sparkSession)
+    name = "statistics"
+    while name in docs.columns:
+        name += "_"
+    read = F.arrow_udf(_statistics, "struct<" + ", ".join(f"{s}: double" for s in STATISTICS) + ">")
+    scored = docs.withColumn(name, read(F.col("text").cast("string")))
+    return scored.where(score_column(*model, lambda s: F.col(name)[s]) >= threshold).select(*docs.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))

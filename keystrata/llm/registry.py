@@ -1,10 +1,11 @@
 """The training-data operators' queries, and the DuckDB equivalents of those that SQL can express."""
 
-from . import ann, chat, jaccard, langid, licenses, packing, quality, tokenids, warc
+from . import ann, chat, decontaminate, jaccard, langid, licenses, packing, quality, tokenids, warc
 
 QUERIES = {
     "op1_jaccard_components": jaccard.op1_jaccard_components,
     "op2_warc_index": warc.op2_warc_index,
+    "op3_benchmark_leaks": decontaminate.op3_benchmark_leaks,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_language_id": langid.op5_language_id,
     "op6_token_ids": tokenids.op6_token_ids,
