@@ -1,12 +1,26 @@
-"""The query catalogue over the driver's tables: Spark plans and their DuckDB equivalents."""
+"""The query catalogue over the driver's tables: Spark plans and their DuckDB equivalents.
+
+Change log A is ``events``: key user_id, seq event_id, deleted by an error event.  Change
+log B is ``lineitem``: key (l_orderkey, l_linenumber), seq l_shipdate, with ties.  Runs are
+bands of 1000 event ids, layers bands of a third of them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from ..model import changes
-from ..operators.versions import latest_state
+from ..operators import queues, runs, versions
+from ..session import ship
+from ..sources import wal, wire
+from ..streaming.telemetry import rates
+
+RUN, BANDS = 1000, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +28,315 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change log A: a small key space; an error event deletes its user."""
     return changes(table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_id"), F.col("event_type") == "error", F.col("value"))
 
 
-def q_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_state(event_log(spark, sf_dir)).select("key", "seq", "value")
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir).withColumn("run_id", (F.floor(F.col("seq") / RUN) + 1).cast("long"))
+
+
+A = "SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CASE WHEN event_type <> 'error' THEN value END AS value FROM events"
+R = f"SELECT *, seq // {RUN} + 1 AS run_id FROM ({A})"
+NEWEST = "QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# Latest state and versions
+
+
+@query(f"SELECT key, seq, value FROM ({A}) {NEWEST} AND op = 'put'")
+def latest_state(spark, d):
+    return versions.latest_state(event_log(spark, d)).select("key", "seq", "value")
+
+
+LINE = ("l_orderkey", "l_linenumber")
+LINE_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, strftime(l_shipdate, '%Y-%m-%d') AS shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(f'{c} DESC' for c in LINE_ORDER)}) = 1")
+def latest_state_multicol(spark, d):
+    best = versions.newest(table(spark, d, "lineitem"), list(LINE), [F.col(c).desc() for c in LINE_ORDER])
+    return best.select(*LINE, "l_partkey", "l_suppkey", "l_quantity", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"))
+
+
+@query(f"SELECT key, seq, op, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC)::INT AS version FROM ({A})")
+def version_scan(spark, d):
+    return versions.version_scan(event_log(spark, d))
+
+
+@query(f"SELECT key, seq, value FROM ({A}) WHERE seq <= 500 {NEWEST} AND op = 'put'")
+def as_of(spark, d):
+    return versions.as_of(event_log(spark, d), 500).select("key", "seq", "value")
+
+
+@query(f"SELECT key, seq, value FROM ({A}) WHERE key >= 20 AND key < 60 {NEWEST} AND op = 'put'")
+def range_scan(spark, d):
+    return versions.range_scan(event_log(spark, d), 20, 60).select("key", "seq", "value")
+
+
+# Reads
+
+
+TRI = f"SELECT c_custkey AS key, CASE WHEN op IS NULL THEN 'absent' WHEN op = 'delete' THEN 'deleted' ELSE 'hit' END AS status, seq, value FROM customer LEFT JOIN (SELECT * FROM ({A}) {NEWEST}) ON key = c_custkey"
+
+
+def _probes(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+
+
+@query(TRI)
+def tri_state_get(spark, d):
+    return versions.multi_get(_probes(spark, d), versions.newest(event_log(spark, d)))
+
+
+@query(f"SELECT status, count(*) AS n FROM ({TRI}) GROUP BY status")
+def multi_get_hits(spark, d):
+    return tri_state_get(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT key, seq, op, value FROM ({A}) WHERE key = 42 {NEWEST}")
+def point_get(spark, d):
+    return versions.point_get(event_log(spark, d), 42)
+
+
+LAYERS = f"SELECT *, {BANDS - 1} - least(seq * {BANDS} // (SELECT max(event_id) + 1 FROM events), {BANDS - 1}) AS layer FROM ({A})"
+
+
+@query(f"SELECT key, seq, op, value, layer FROM ({LAYERS}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY layer, seq DESC) = 1")
+def layered_get(spark, d):
+    log = event_log(spark, d)
+    top = log.agg((F.max("seq") + 1).alias("top"))
+    layer = F.lit(BANDS - 1) - F.least(F.floor(F.col("seq") * BANDS / F.col("top")), F.lit(BANDS - 1))
+    layered = log.join(F.broadcast(top)).withColumn("layer", layer.cast("long")).drop("top")  # top: one row
+    return versions.layered_get(layered)
+
+
+@query("SELECT c_custkey AS key, (SELECT min(user_id) FROM events WHERE user_id >= c_custkey) AS bound FROM customer")
+def lower_bound(spark, d):
+    return versions.lower_bound(_probes(spark, d), event_log(spark, d).select("key"))
+
+
+# Runs and compaction
+
+
+@query(f"SELECT key, seq, op, value FROM ({R}) {NEWEST}")
+def compact_keep(spark, d):
+    return versions.merge_runs([event_runs(spark, d)], bottom=False).drop("run_id")
+
+
+@query(f"SELECT key, seq, op, value FROM ({R}) {NEWEST} AND op = 'put'")
+def compact_drop(spark, d):
+    return versions.merge_runs([event_runs(spark, d)], bottom=True).drop("run_id")
+
+
+MINMAX = "SELECT run_id, min(key) AS min_key, max(key) AS max_key, count(*) AS rows, max(seq) AS max_seq FROM ({}) GROUP BY run_id"
+
+
+@query(MINMAX.format(R))
+def run_minmax(spark, d):
+    return runs.run_minmax(event_runs(spark, d))
+
+
+ORD = "SELECT o_custkey AS key, o_orderkey AS seq, o_custkey // 100 + 1 AS run_id FROM orders"
+L0 = "SELECT min(min_key) AS lo, max(max_key) AS hi FROM ({}) WHERE run_id BETWEEN 3 AND 4".format(MINMAX.format(ORD))
+
+
+def _order_runs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"))
+    return o.withColumn("run_id", (F.floor(F.col("key") / 100) + 1).cast("long"))
+
+
+@query(f"SELECT run_id, min_key, max_key, rows, max_seq FROM ({MINMAX.format(ORD)}), ({L0}) WHERE NOT (max_key < lo OR min_key > hi)")
+def overlap_select(spark, d):
+    r = runs.run_minmax(_order_runs(spark, d))
+    return runs.overlap_select(r.where("run_id between 3 and 4"), r)
+
+
+@query(f"SELECT run_id, min_key, max_key, rows, max_seq, (run_id - 1) // 4 AS compaction FROM ({MINMAX.format(R)})")
+def l0_groups(spark, d):
+    return runs.l0_groups(run_minmax(spark, d))
+
+
+@query(f"SELECT c_custkey AS key, count(run_id) AS runs_touched FROM customer LEFT JOIN ({MINMAX.format(ORD)}) ON c_custkey BETWEEN min_key AND max_key GROUP BY c_custkey")
+def run_pruning(spark, d):
+    return runs.run_pruning(_probes(spark, d), runs.run_minmax(_order_runs(spark, d)))
+
+
+SIZES = f"SELECT event_id // {RUN} + 1 AS run_id, event_id AS pos, 8 AS key_bytes, length(props) AS value_bytes FROM events"
+
+
+def _entries(spark, d):
+    e = table(spark, d, "events")
+    return e.select((F.floor(F.col("event_id") / RUN) + 1).cast("long").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("key"), F.lit(8).alias("key_bytes"), F.length("props").alias("value_bytes"))
+
+
+@query(f"SELECT run_id, CAST(sum(key_bytes + value_bytes + 16) AS BIGINT) AS physical, CAST(sum(key_bytes + value_bytes) AS BIGINT) AS logical, round(sum(key_bytes + value_bytes + 16) / sum(key_bytes + value_bytes), 6) AS amplification FROM ({SIZES}) GROUP BY run_id")
+def write_amp(spark, d):
+    return runs.write_amplification(_entries(spark, d))
+
+
+FOLD = """
+WITH RECURSIVE s AS (SELECT run_id, pos, key_bytes + value_bytes + {head} AS size, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS rn FROM ({sizes})),
+f AS (SELECT run_id, pos, size, rn, CAST(0 AS BIGINT) AS block_id, CAST(size AS BIGINT) AS used FROM s WHERE rn = 1
+  UNION ALL SELECT s.run_id, s.pos, s.size, s.rn, f.block_id + CASE WHEN f.used >= {limit} THEN 1 ELSE 0 END, CASE WHEN f.used >= {limit} THEN 0 ELSE f.used END + s.size FROM f JOIN s ON s.run_id = f.run_id AND s.rn = f.rn + 1)
+"""
+
+
+@query(FOLD.format(head=16, sizes=SIZES, limit=4096) + "SELECT run_id, block_id, max(pos) AS last_key, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS entries FROM f GROUP BY run_id, block_id")
+def sst_block_layout(spark, d):
+    return runs.block_layout(_entries(spark, d).select("run_id", "pos", "key", (F.col("key_bytes") + F.col("value_bytes") + runs.ENTRY_HEADER).alias("size")))
+
+
+@query(FOLD.format(head=24, sizes=SIZES, limit=16384) + "SELECT run_id, block_id, max(pos) AS freeze_seq, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY run_id, block_id")
+def freeze_points(spark, d):
+    e = _entries(spark, d).select("run_id", "pos", (F.col("key_bytes") + F.col("value_bytes") + runs.MEMTABLE_ENTRY).alias("size"))
+    return runs.resetting_groups(e, "run_id", "pos", "size", 16384).groupBy("run_id", "block_id").agg(F.max("pos").alias("freeze_seq"), F.sum("size").alias("bytes"))
+
+
+@query(f"SELECT max(seq) AS max_seq, run_id FROM ({R}) GROUP BY run_id")
+def batch_max_seq(spark, d):
+    return event_runs(spark, d).groupBy("run_id").agg(F.max("seq").alias("max_seq"))
+
+
+SNAPS = (100, 400, 900)
+
+
+@query(" UNION ALL ".join(f"SELECT key, seq, op, value, CAST({s} AS BIGINT) AS snapshot FROM ({A}) WHERE seq <= {s} {NEWEST}" for s in SNAPS))
+def snapshot_retention(spark, d):
+    return versions.snapshot_retention(event_log(spark, d), list(SNAPS))
+
+
+# Queue, map and routing
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS position, (row_number() OVER (ORDER BY event_id) - 1) // 16 AS batch_id FROM events")
+def queue_fifo(spark, d):
+    return queues.fifo_batches(table(spark, d, "events").select("event_id"), F.col("event_id"))
+
+
+@query(f"SELECT key, seq, prior FROM (SELECT key, seq, op, lag(value) OVER (PARTITION BY key ORDER BY seq) AS prior FROM ({A})) WHERE op = 'delete'")
+def map_remove_returns(spark, d):
+    ops = event_log(spark, d).withColumn("op", F.when(F.col("op") == "put", "insert").otherwise("remove"))
+    return versions.map_replay(ops).where("op = 'remove'").select("key", "seq", "prior")
+
+
+@query("SELECT user_id % 8 AS core, count(*) AS n FROM events GROUP BY 1")
+def route_core(spark, d):
+    return queues.route(table(spark, d, "events"), F.col("user_id"), 8).groupBy("core").agg(F.count("*").alias("n"))
+
+
+@query("SELECT target, replica, count(*) AS n FROM (SELECT user_id % 8 AS target, false AS replica FROM events UNION ALL SELECT (user_id % 8 + 1) % 8, true FROM events) GROUP BY target, replica")
+def replicate_ring(spark, d):
+    routed = queues.route(table(spark, d, "events").select("user_id"), F.col("user_id"), 8)
+    return queues.replicate(routed, 8).groupBy("target", "replica").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id % 8 AS core, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS seq FROM events")
+def assign_seq(spark, d):
+    routed = queues.route(table(spark, d, "events").select("event_id", "user_id"), F.col("user_id"), 8)
+    return queues.assign_seq(routed, "core", F.col("event_id")).select("event_id", "core", "seq")
+
+
+@query("SELECT event_id, core, seq, previous FROM (SELECT *, lag(seq) OVER (PARTITION BY core ORDER BY event_id) AS previous FROM (SELECT event_id, user_id % 8 AS core, event_id * 7919 % 10007 AS seq FROM events)) WHERE seq <= previous")
+def seq_regression(spark, d):
+    routed = queues.route(table(spark, d, "events").select("event_id", "user_id"), F.col("user_id"), 8)
+    return queues.regressions(routed.withColumn("seq", F.col("event_id") * 7919 % 10007), "core", F.col("event_id")).select("event_id", "core", "seq", "previous")
+
+
+# Codecs
+
+
+@query("SELECT o_orderkey AS id, 'put' AS status, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS val FROM orders UNION ALL SELECT o_orderkey, 'get', CAST(o_orderkey AS VARCHAR), NULL FROM orders")
+def wire_roundtrip(spark, d):
+    o = table(spark, d, "orders")
+    raw = F.concat(wire.encode_put(F.col("o_orderkey"), F.col("o_custkey")), wire.encode_get(F.col("o_orderkey")))
+    f = wire.decode(wire.split_frames(o.select(F.col("o_orderkey").alias("id"), raw.alias("raw"))))
+    return f.select("id", "status", F.col("key").cast("string").alias("key"), F.col("val").cast("string").alias("val"))
+
+
+@query("SELECT c_custkey AS key, seq, CAST(floor(value) AS BIGINT) AS reply FROM customer JOIN (SELECT * FROM (" + A + ") " + NEWEST + " AND op = 'put') ON key = c_custkey")
+def wire_get(spark, d):
+    state = versions.newest(event_log(spark, d)).withColumn("value", wire.be64(F.floor("value")))
+    found = wire.replies(versions.multi_get(_probes(spark, d), state))
+    return found.select("key", "seq", wire.u64(F.col("value")).cast("long").alias("reply"))
+
+
+@query()
+def wal_replay(spark, d):
+    """Encode the event log as one log for each run, tear every third at its end, and replay the valid prefixes."""
+    ship(spark)
+    log = event_runs(spark, d).select("run_id", F.col("key").cast("string").cast("binary").alias("key"), "seq", "op", F.col("value").cast("string").cast("binary").alias("value"))
+    frame = wal.encode(wal.change_payload(F.col("key"), F.col("seq"), F.col("op"), F.col("value")), F.col("seq") + 1)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = int(pdf["run_id"].iloc[0])
+        data = wal.padded([bytes(x) for x in pdf.sort_values("seq")["frame"]])
+        data = data.rstrip(b"\0")[:-5] if run % 3 == 0 else data
+        return pd.DataFrame({"path": [f"run-{run}"], "content": [data]})
+
+    files = log.select("run_id", "seq", frame.alias("frame")).groupBy("run_id").applyInPandas(gather, "path string, content binary")
+    return wal.replay(files).select("path", "wal_seq", F.col("key").cast("string").alias("key"), "seq", "op", F.col("value").cast("string").alias("value"))
+
+
+@query()
+def wal_frame_status(spark, d):
+    """CRC of every change's frame, computed by Spark and checked by the decoder."""
+    ship(spark)
+    log = event_log(spark, d)
+    body = wal.change_payload(F.col("key").cast("string").cast("binary"), F.col("seq"), F.col("op"), F.col("value").cast("string").cast("binary"))
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            first = [next(wal.scan(bytes(x))) for x in f["frame"]]
+            yield pd.DataFrame({"seq": f["seq"], "crc": [r[1] for r in first], "status": [r[5] for r in first]})
+
+    return log.select("seq", wal.encode(body, F.col("seq") + 1).alias("frame")).mapInPandas(check, "seq long, crc long, status string")
+
+
+# Telemetry
+
+
+@query("SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS window_start, requests, rx_bytes, CAST(sum(requests) OVER (ORDER BY m) AS BIGINT) AS total_requests, requests - coalesce(lag(requests) OVER (ORDER BY m), 0) AS delta_requests FROM (SELECT date_trunc('minute', ts) AS m, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS rx_bytes FROM events GROUP BY 1)")
+def telemetry_rate(spark, d):
+    r = rates(table(spark, d, "events"), F.col("ts"), F.length("props"), "1 minute")
+    return r.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+# Bloom filters
+
+
+def _bloom_probe(spark, d, prefix: str) -> DataFrame:
+    """Filters of the customers' keys by partition of the key's CRC; probed by keys of the same partition."""
+    ship(spark)
+    own = table(spark, d, "customer").select(F.concat(F.lit("existing-"), F.col("c_custkey")).alias("key"))
+    asked = table(spark, d, "customer").select(F.concat(F.lit(prefix), F.col("c_custkey")).alias("key"))
+    part = lambda df: df.withColumn("p", F.pmod(F.crc32("key"), F.lit(4)))
+
+    def probe(build: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        data = bloom.build([k.encode() for k in build["key"]])
+        hits = bloom.contains(data, [k.encode() for k in ask["key"]]) if len(ask) else []
+        return pd.DataFrame({"key": ask["key"], "hit": pd.Series(hits, dtype="bool")})
+
+    return part(own).groupBy("p").cogroup(part(asked).groupBy("p")).applyInPandas(probe, "key string, hit boolean")
+
 
+@query("SELECT count(*) AS n, count(*) AS hits FROM customer")
+def bloom_no_false_neg(spark, d):
+    return _bloom_probe(spark, d, "existing-").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
-LOG_A = "SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CASE WHEN event_type <> 'error' THEN value END AS value FROM events"
 
-QUERIES = {"latest_state": q_latest_state}
-ORACLES = {"latest_state": f"SELECT key, seq, value FROM ({LOG_A}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND op = 'put'"}
+@query()
+def bloom_fpr(spark, d):
+    return _bloom_probe(spark, d, "missing-").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("fpr"))
