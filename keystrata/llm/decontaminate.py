@@ -142,7 +142,9 @@ def latent_space(texts: DataFrame) -> np.ndarray | None:
     half = z @ (vectors / np.sqrt(np.maximum(values, 1e-12 * values.max())))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     # Whitened: every latent direction counts alike, so common words don't drown the rest.
-    return (u[:, :RANK] / np.sqrt(np.maximum(s[:RANK] ** 2, 1e-12 * s[0] ** 2)) * np.sqrt(docs) * idf[:, None]).astype(np.float32)
+    # Directions that a small corpus doesn't have stay out.
+    weight = np.where(s[:RANK] > 1e-3 * s[0], np.sqrt(docs) / np.maximum(s[:RANK], 1e-12), 0)
+    return (u[:, :RANK] * weight * idf[:, None]).astype(np.float32)
 
 
 def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
