@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +42,7 @@ from .textops import mix, shingle_sets, slices
 
 NUM, DEN = 4, 5
 BLOCK = 512
+TOKENS = 1 << 20  # shingles in a block, about: long texts make smaller blocks
 GRID = 64
 BLOOM_BITS = 25
 BLOOM_ROWS = 1 << 22  # beyond it the candidates' texts are found by a shuffled semi-join
@@ -358,16 +359,20 @@ def _tree_join(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
 
+def _blocks(classes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(classes / F.lit(BLOCK)), F.ceil(shingles / F.lit(TOKENS)), F.lit(1)).cast("int")
+
+
 def _rest(lists: DataFrame, sets: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """For lists (token, cid): members outside a list's largest component, joined with all its others."""
-    own = lists.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    own = lists.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(sets.select("cid", "n"), "cid")
     lists = own.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.xxhash64("cid", F.lit(7)).cast("decimal(38,0)")).alias("s")).where("a <> b")
     lists = lists.groupBy("size", "x", "s").agg(F.min("token").alias("token"))  # equal lists once
     own = own.join(lists.select("token"), "token", "left_semi")
     sizes = own.groupBy("token", "label").agg(F.count("*").alias("c"))
     most = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
     own = scratch.table(own.join(most, "token").withColumn("asks", F.col("label") != F.col("most")), "open-lists")
-    counts = own.groupBy("token").agg(F.ceil(F.count_if("asks") / F.lit(BLOCK)).cast("int").alias("rows"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("cols"))
+    counts = own.groupBy("token").agg(_blocks(F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0))).alias("rows"), _blocks(F.count("*"), F.sum("n")).alias("cols"))
     own = own.join(counts, "token")
     # A grid of blocks: askers by rows, all members by columns.
     row, col = F.pmod(F.xxhash64("cid", F.lit(3)), F.col("rows")).cast("int"), F.pmod(F.xxhash64("cid", F.lit(4)), F.col("cols")).cast("int")
@@ -421,8 +426,8 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     heads = posts.groupBy("token").agg(F.min("cid").alias("head"), F.count("*").alias("size")).where("size > 1")
     posts = scratch.table(posts.join(heads.select("token", "head"), "token"), "lists")
     cluster = scratch.table(components(posts.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")), scratch).withColumnsRenamed({"id": "cid", "component": "cluster"}), "clusters")
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    sized = cluster.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = cluster.join(sets.select("cid", "n"), "cid").groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    sized = cluster.join(sizes, "cluster")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     dealt = sized.select("cid", "cluster", "blocks", F.explode(salts).alias("salt")).withColumn("block", F.pmod(F.xxhash64("cid", "salt"), F.col("blocks")).cast("int"))
     links = dealt.join(sets.select("cid", "hashes"), "cid").groupBy("cluster", "salt", "block").applyInPandas(_tree_join, "u long, v long")
