@@ -184,8 +184,10 @@ class Items:
 
     def check(self, k: int, words: np.ndarray) -> float:
         """The share of item k's words that a passage holds in order; 0 if the answer is missing."""
-        n = int(self.size[k])
-        v = lcs(self.masks[k], n, words.tolist())
+        n, masks, listed = int(self.size[k]), self.masks[k], words.tolist()
+        if sum(masks[w].bit_count() for w in masks.keys() & set(listed)) < LCS * n:
+            return 0.0  # too few of its words in any order
+        v = lcs(masks, n, listed)
         share = (n - v.bit_count()) / n
         if share >= LCS:
             answer = self.answer[k]
@@ -197,27 +199,30 @@ class Items:
 def _search(items: Items, space: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [(int(p), np.flatnonzero(items.passage == p)) for p in np.unique(items.passage[items.passage > 0])]
+        by_word = np.ascontiguousarray(space.T)
         for batch in batches:
             out: list[tuple[int, int, float]] = []
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 words, at = plain_words(part.column("text"))
                 if not len(words):
                     continue
                 counts = np.diff(at)
                 best: dict[tuple[int, int], float] = {}
-                sums = np.zeros((len(words) + 1, space.shape[1]), np.float32)
-                np.cumsum(space[features(words)], axis=0, out=sums[1:])
+                # Running sums of the words' latent vectors, one row for each direction.
+                sums = np.zeros((len(by_word), len(words) + 1), np.float32)
+                np.cumsum(np.take(by_word, features(words), axis=1), axis=1, out=sums[:, 1:])
                 for length, own in groups:
-                    step = max(1, length // 6)
+                    step = max(1, length // 4)
                     n = np.maximum(1, -(-(counts - length) // step) + 1) * (counts > 0)
                     doc = np.repeat(np.arange(len(counts)), n)
                     start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
                     stop = np.minimum(start + length, at[doc + 1])
                     for a in range(0, len(start), 4096):
-                        v = sums[stop[a : a + 4096]] - sums[start[a : a + 4096]]
-                        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-                        cosine = (v @ items.vectors[own].T) / np.maximum(norm, 1e-9)
-                        for i, j in zip(*np.nonzero(cosine >= COSINE)):
+                        v = np.take(sums, stop[a : a + 4096], axis=1)
+                        v -= np.take(sums, start[a : a + 4096], axis=1)
+                        norm = np.sqrt(np.einsum("ij,ij->j", v, v))
+                        cosine = (items.vectors[own] @ v) / np.maximum(norm, 1e-9)
+                        for j, i in zip(*np.nonzero(cosine >= COSINE)):
                             i += a
                             k = int(own[j])
                             key = (int(doc[i]), k)
