@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .ranges import range_bucket
 
 DRAIN = 16
@@ -18,10 +22,11 @@ def positions(df: DataFrame, order: Column) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_o", order)
     ranged = keyed.withColumn("_p", range_bucket(keyed, "_o", parts))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each range
-    base = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_base"))
-    own = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
-    return own.join(F.broadcast(base), "_p").withColumn("position", F.col("_rn") + F.col("_base")).drop("_o", "_p", "_rn", "_base")
+    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row for each range
+    base = [sum(n for p, n in sizes.items() if p < k) for k in range(parts)]
+    before = F.element_at(F.array(*(F.lit(b).cast("long") for b in base)), F.col("_p") + 1)
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
+    return numbered.withColumn("position", F.col("_rn") + before).drop("_o", "_p", "_rn")
 
 
 def fifo_batches(items: DataFrame, offset: Column, batch: int = DRAIN) -> DataFrame:
@@ -50,3 +55,26 @@ def regressions(df: DataFrame, shard: str, order: Column, seq: str = "seq") -> D
     """Rows whose sequence number isn't greater than the one before in their shard."""
     w = Window.partitionBy(shard).orderBy(order)
     return df.withColumn("previous", F.lag(seq).over(w)).where(F.col(seq) <= F.col("previous"))
+
+
+def queue_replay(ops: DataFrame, capacity: int) -> DataFrame:
+    """Outcomes of pushes and pops on bounded FIFO queues (queue, seq, op push/pop, item): result ok, full or empty, and out.
+
+    A queue's operations depend on each other one by one, so each queue is one task; a full
+    push is refused, as by a bounded queue, and keeps its item.
+    """
+    ship(ops.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, rows = deque(), []
+        pdf = pdf.sort_values("seq", kind="stable")
+        for op, item in zip(pdf["op"], pdf["item"]):
+            if op == "push":
+                rows.append(("full" if len(held) >= capacity else "ok", None))
+                if len(held) < capacity:
+                    held.append(item)
+            else:
+                rows.append(("ok", held.popleft()) if held else ("empty", None))
+        return pd.DataFrame({"queue": pdf["queue"].to_numpy(), "seq": pdf["seq"].to_numpy(), "op": pdf["op"].to_numpy(), "result": [r for r, _ in rows], "out": pd.array([o for _, o in rows], dtype="Int64")})
+
+    return ops.groupBy("queue").applyInPandas(run, "queue long, seq long, op string, result string, out long")

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import bloom
 from ..model import changes
 from ..operators import queues, runs, versions
-from ..session import ship
-from ..sources import wal, wire
+from ..session import ship, work_dir
+from ..sources import sst, wal, wire
 from ..streaming.telemetry import rates
+from ..table import KVTable
+from ..workload import puts
 
 RUN, BANDS = 1000, 3
 
@@ -218,6 +220,41 @@ def snapshot_retention(spark, d):
     return versions.snapshot_retention(event_log(spark, d), list(SNAPS))
 
 
+def _binary_log(spark, d) -> DataFrame:
+    text = lambda c: F.col(c).cast("string").cast("binary")
+    return event_log(spark, d).select(text("key").alias("key"), "seq", "op", text("value").alias("value"))
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq FROM ({A}) {NEWEST} AND op = 'put'")
+def table_state(spark, d):
+    """Five flushes into a keyed table, with the compaction that they trigger, then a scan of its newest version."""
+    t, log = KVTable.open(spark, work_dir(spark)), _binary_log(spark, d)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    for i in range(5):
+        t.write(log.where((F.col("seq") > top * i // 5 - (i == 0)) & (F.col("seq") <= top * (i + 1) // 5)), batch_id=i)
+    return t.scan().select(F.col("key").cast("string").alias("key"), "seq")
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq, op, CASE WHEN op = 'put' THEN CAST(key AS VARCHAR) || '-' || CAST(seq AS VARCHAR) END AS value FROM ({A})")
+def sst_codec(spark, d):
+    """Every run written to the sorted table format and read back."""
+    ship(spark)
+    log = event_runs(spark, d).select("run_id", F.col("key").cast("string").alias("key"), "seq", "op")
+
+    def round_trip(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(k.encode(), None if op == "delete" else f"{k}-{s}".encode(), int(s)) for k, s, op in zip(pdf["key"], pdf["seq"], pdf["op"])]
+        back = list(sst.SortedTable(sst.write(sorted(rows, key=lambda r: (r[0], -r[2])))))
+        return pd.DataFrame([(k.decode(), s, "delete" if v is None else "put", None if v is None else v.decode()) for k, v, s in back], columns=["key", "seq", "op", "value"])
+
+    return log.groupBy("run_id").applyInPandas(round_trip, "key string, seq long, op string, value string")
+
+
+@query("SELECT 'k_' || lpad(CAST(range AS VARCHAR), 8, '0') AS key, range AS seq, 'put' AS op, 'v_' || lpad(CAST(range AS VARCHAR), 8, '0') AS value FROM range(10000)")
+def gen_workload(spark, d):
+    w = puts(spark, 10_000)
+    return w.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+
+
 # Queue, map and routing
 
 
@@ -232,6 +269,19 @@ def map_remove_returns(spark, d):
     return versions.map_replay(ops).where("op = 'remove'").select("key", "seq", "prior")
 
 
+@query(f"SELECT key, seq, op, CASE WHEN last = 'put' THEN prior END AS prior FROM (SELECT key, seq, op, lag(op) OVER w AS last, lag(value) OVER w AS prior FROM ({A}) WINDOW w AS (PARTITION BY key ORDER BY seq))")
+def map_replay(spark, d):
+    ops = event_log(spark, d).withColumn("op", F.when(F.col("op") == "put", "insert").otherwise("remove"))
+    return versions.map_replay(ops).select("key", "seq", F.when(F.col("op") == "insert", "put").otherwise("delete").alias("op"), "prior")
+
+
+@query()
+def queue_replay(spark, d):
+    """One bounded queue for each user: two events of three push, the third pops."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("queue"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, "push").otherwise("pop").alias("op"), F.col("event_id").alias("item"))
+    return queues.queue_replay(e, 16)
+
+
 @query("SELECT user_id % 8 AS core, count(*) AS n FROM events GROUP BY 1")
 def route_core(spark, d):
     return queues.route(table(spark, d, "events"), F.col("user_id"), 8).groupBy("core").agg(F.count("*").alias("n"))

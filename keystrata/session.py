@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,8 +13,17 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, str] = {}
 
 
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers of every executor, once for each application."""
+    """Make the package importable in the Python workers of every executor, once for each application.
+
+    Rows here hold whole texts, so a session that has Spark's default of 10,000 rows in an
+    Arrow batch gets ``ARROW_ROWS``: memory of Python and JVM follows the batch.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -36,3 +46,9 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared space; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='keystrata-')).rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -69,6 +69,13 @@ def test_map_replay(spark):
     assert got == {1: None, 2: None, 3: None, 4: 100, 5: None, 6: 200, 7: None}
 
 
+def test_bounded_queues(spark):
+    ops = [(1, 1, "pop", None), (1, 2, "push", 10), (1, 3, "push", 20), (1, 4, "push", 30), (1, 5, "pop", None), (1, 6, "push", 40), (1, 7, "pop", None), (1, 8, "pop", None), (2, 1, "push", 7)]
+    df = spark.createDataFrame(ops, "queue long, seq long, op string, item long").repartition(3)
+    got = [(r["result"], r["out"]) for r in queues.queue_replay(df, 2).orderBy("queue", "seq").collect()]
+    assert got == [("empty", None), ("ok", None), ("ok", None), ("full", None), ("ok", 10), ("ok", None), ("ok", 20), ("ok", 40), ("ok", None)]
+
+
 def test_wire_frames(spark):
     put, get = b"\x01" + (2**64 - 1).to_bytes(8, "big") + bytes(8), b"\x02" + (7).to_bytes(8, "big")
     buffers = {0: b"", 1: b"\x01" + bytes(7), 2: get, 3: put[:16], 4: put, 5: put + put, 6: get + put + b"PING", 7: b"PING" * 8}
