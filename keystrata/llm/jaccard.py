@@ -100,7 +100,7 @@ def _prefixes(n: int, buckets: int):
                         keys.append(s[:p])
                         owners.append(np.full(p, short(digest(s)), np.int64))
                         held += p
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     yield _dealt(keys, owners, buckets)
                     keys, owners, held = [], [], 0
         if held:
@@ -180,7 +180,7 @@ def _whole(buckets: int):
                 keys.append(np.frombuffer(b, np.uint64))
                 owners.append(np.full(len(keys[-1]), cid, np.int64))
                 held += len(keys[-1])
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     yield _dealt(keys, owners, buckets)
                     keys, owners, held = [], [], 0
         if held:
