@@ -440,6 +440,7 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
         lists = posts.join(big.where(F.col("blocks") > GRID).select("cid"), "cid", "left_semi").select("token", "cid")
         more = scratch.table(_rest(grids, sets, label, scratch).unionByName(_rest(lists, sets, label, scratch)), "more")
         label = components(links.unionByName(more), scratch).withColumnsRenamed({"id": "cid", "component": "label"})
+    scratch.drop(candidates, sets, posts)
     named = classes.select("digest", "cid").join(label, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"))
     return finish(named)
 
