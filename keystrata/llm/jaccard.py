@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import Scratch
-from .textops import mix, shingle_sets, slices
+from .textops import mix, shingle_sets, slices, tidy
 
 NUM, DEN = 4, 5
 BLOCK = 512
@@ -111,6 +111,7 @@ def _prefixes(n: int, buckets: int):
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for every class, how many of its shingles another class has too."""
+    tidy()
     k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
     o = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
     order = np.lexsort((o, k))
@@ -192,6 +193,7 @@ def _whole(buckets: int):
 def _counted(buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of one bucket of shingles: those of several classes with their number, packed by buckets of classes."""
+        tidy()
         k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
         o = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
         order = np.argsort(k, kind="stable")
@@ -211,6 +213,7 @@ def _counted(buckets: int):
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket of classes: each with its shared shingles, rare first."""
+    tidy()
     k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
     o, df = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("owners", "counts"))
     order = np.lexsort((k, df, o))

@@ -7,6 +7,8 @@ character.  All hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -154,6 +156,15 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     return sets
 
 
+def tidy() -> None:
+    """Give freed memory back: worker processes live on between tasks, and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
     """Consecutive parts of a batch with about size bytes of the column in each, one row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -163,3 +174,4 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    tidy()
