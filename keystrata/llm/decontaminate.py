@@ -212,7 +212,7 @@ def _search(items: Items, space: np.ndarray):
                 sums = np.zeros((len(by_word), len(words) + 1), np.float32)
                 np.cumsum(np.take(by_word, features(words), axis=1), axis=1, out=sums[:, 1:])
                 for length, own in groups:
-                    step = max(1, length // 4)
+                    step = max(1, length // 3)
                     n = np.maximum(1, -(-(counts - length) // step) + 1) * (counts > 0)
                     doc = np.repeat(np.arange(len(counts)), n)
                     start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
