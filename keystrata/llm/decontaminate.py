@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic retrieval, then subsequence and answer checks.
+"""Benchmark decontamination: rare-word retrieval, latent and weight gates, subsequence and answer checks.
 
 1. Every document is cut into overlapping passages.  A passage is a vector of hashed words
    weighted by tf-idf; document frequencies count all documents.
@@ -6,12 +6,15 @@
    distributed randomised SVD: one pass sums A'(A W) for a fixed random W on the executors, in
    slices of the hashed words; the single-view (Nystrom) formula turns the sum into singular
    values and directions.
-3. Passages and benchmark items are compared by cosine in that space, every passage against
-   all items in blocks.  Items are grouped by length; each group has passages of about 1.5 to 2
-   times its length, so that an item always lies whole in one.
-4. A candidate must hold at least ``LCS`` of the item's words in order (longest common
-   subsequence) and ``ANSWER`` of its answer: the words of column ``answer`` if the benchmark
-   has one, else the last quarter of the item.
+3. A passage of an item is any run of ``passage`` words of a document (about 1.5 to 2 times the
+   item's words), at every offset.  One that holds T of the item's n words holds at least c of
+   its n - T + c rarest: an inverted index of those finds every such passage, without a grid.
+4. A passage counts if the words of the item that it holds, each taken once, carry half of the
+   weight (-log frequency) of all its words, or if its cosine with the item in the latent space
+   is at least ``COSINE``.  So what else stands in the passage can't outweigh a copy.
+5. It must hold at least ``LCS`` of the item's words in order (longest common subsequence) and
+   ``ANSWER`` of its answer: the words of column ``answer`` if the benchmark has one, else the
+   last quarter of the item.
 
 Null or empty texts and items without words match nothing.  Items are held by every task in
 blocks of ``ITEM_BLOCK``, so a large benchmark takes several scans instead of more memory.  Repeated
@@ -36,7 +39,9 @@ FEATURES = 1 << BITS
 RANK, EXTRA = 128, 16
 SVD_PASSAGE = 64
 COSINE = 0.35
+WEIGHT = 0.5
 LCS, ANSWER = 0.6, 0.5
+FINE_BITS = 16  # buckets of word counts
 ITEM_BLOCK = 4096
 _U = np.uint64
 
@@ -58,9 +63,13 @@ def features(words: np.ndarray) -> np.ndarray:
     return (mix(words ^ _U(0x5EED)) >> _U(64 - BITS)).astype(np.int64)
 
 
+def fine(words: np.ndarray) -> np.ndarray:
+    return (mix(words ^ _U(0xF17E)) >> _U(64 - FINE_BITS)).astype(np.int64)
+
+
 def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each hashed word."""
-    total, docs = np.zeros(FEATURES, np.int64), 0
+    """Documents that hold each hashed word; occurrences in finer buckets."""
+    total, counts, docs = np.zeros(FEATURES, np.int64), np.zeros(1 << FINE_BITS, np.int64), 0
     for batch in batches:
         for part in slices(batch, "text"):
             words, at = plain_words(part.column("text"))
@@ -71,9 +80,10 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += seen.reshape(-1, FEATURES).sum(axis=0)
             else:
                 total += np.bincount(np.unique(owner * FEATURES + features(words)) % FEATURES, minlength=FEATURES)
+            counts += np.bincount(fine(words), minlength=len(counts))
             docs += len(at) - 1
     if docs:
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.append(total, docs).tobytes()], pa.binary())], ["slice", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate([total, counts, [docs]]).tobytes()], pa.binary())], ["slice", "sums"])
 
 
 def _projection() -> np.ndarray:
@@ -124,13 +134,13 @@ def _summed(texts: DataFrame, step, kind) -> list[np.ndarray]:
     return [np.frombuffer(r["sums"], kind) for r in sorted(rows, key=lambda r: r["slice"])]
 
 
-def latent_space(texts: DataFrame) -> np.ndarray | None:
-    """FEATURES x RANK: what a word adds to a passage's latent vector (idf included); None for an empty corpus."""
+def latent_space(texts: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """FEATURES x RANK: what a word adds to a passage's latent vector (idf included), and the corpus's word counts in fine buckets; None for an empty corpus."""
     ship(texts.sparkSession)
     got = _summed(texts, _frequency, np.int64)
     if not got:
         return None
-    df, docs = got[0][:-1], got[0][-1]
+    df, counts, docs = got[0][:FEATURES], got[0][FEATURES:-1], got[0][-1]
     idf = np.log((docs + 1) / (df + 0.5)).clip(0.01).astype(np.float32)
     z = np.concatenate([s.reshape(-1, RANK + EXTRA) for s in _summed(texts, _svd_sums(idf), np.float64)])
     # Single-view approximation of G = A'A from Z = G W: G ~ Z (W'Z)^-1 Z'.
@@ -144,7 +154,7 @@ def latent_space(texts: DataFrame) -> np.ndarray | None:
     # Whitened: every latent direction counts alike, so common words don't drown the rest.
     # Directions that a small corpus doesn't have stay out.
     weight = np.where(s[:RANK] > 1e-3 * s[0], np.sqrt(docs) / np.maximum(s[:RANK], 1e-12), 0)
-    return (u[:, :RANK] * weight * idf[:, None]).astype(np.float32)
+    return (u[:, :RANK] * weight * idf[:, None]).astype(np.float32), counts
 
 
 def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -161,7 +171,7 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, rows: pd.DataFrame, space: np.ndarray):
+    def __init__(self, rows: pd.DataFrame, space: np.ndarray, counts: np.ndarray):
         words, at = plain_words(pa.array(rows["text"], pa.string()))
         self.ids = rows["item_id"].to_numpy()
         self.words = [words[a:b] for a, b in zip(at, at[1:])]
@@ -182,57 +192,108 @@ class Items:
         # Passage lengths: at least one and a half times the item's words, in steps of a quarter.
         self.passage = np.where(self.size > 0, 12 * 1.25 ** np.ceil(np.log(np.maximum(1.5 * self.size, 12) / 12) / np.log(1.25)), 0).astype(np.int64)
 
-    def check(self, k: int, words: np.ndarray) -> float:
-        """The share of item k's words that a passage holds in order; 0 if the answer is missing."""
-        n, masks, listed = int(self.size[k]), self.masks[k], words.tolist()
-        if sum(masks[w].bit_count() for w in masks.keys() & set(listed)) < LCS * n:
+        # The index: each item's rarest words, and how many of them a passage must hold.
+        self.least = np.ceil(LCS * self.size - 1e-6).astype(np.int64)
+        self.need = np.maximum(1, self.size // 5)
+        self.weight, self.total, entries = [], [], []
+        for k, w in enumerate(self.words):
+            own, times = np.unique(w, return_counts=True)
+            seen = counts[fine(own)]
+            weight = np.log((counts.sum() + 1.0) / (seen + 0.5))
+            self.weight.append(dict(zip(own.tolist(), weight.tolist())))
+            self.total.append(float(weight.sum()))
+            order = np.lexsort((own, seen))
+            end = int(np.searchsorted(np.cumsum(times[order]), self.size[k] - self.least[k] + self.need[k])) + 1
+            entries += [(int(own[i]), k, int(times[i])) for i in order[:end]]
+        entries.sort()
+        listed = np.array([e[0] for e in entries], np.uint64)
+        self.vocabulary, first = np.unique(listed, return_index=True)
+        self.first = np.append(first, len(entries))
+        self.entry_item = np.array([e[1] for e in entries], np.int64)
+        self.entry_times = np.array([e[2] for e in entries], np.int64)
+
+    def places(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, from, to): ranges of words that hold every passage which can hold ``least`` words of the item."""
+        if not len(self.vocabulary) or not len(words):
+            return
+        slot = np.searchsorted(self.vocabulary, words)
+        slot[slot == len(self.vocabulary)] = 0
+        where = np.flatnonzero(self.vocabulary[slot] == words)
+        slot = slot[where]
+        n = self.first[slot + 1] - self.first[slot]
+        entry = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        where, item = np.repeat(where, n), self.entry_item[entry]
+        # Documents lie further apart than two passages, and items than all documents.
+        gap = 2 * int(self.passage.max())
+        doc = np.searchsorted(at, where, "right") - 1
+        key = item * (len(words) + gap * (len(at) + 1)) + doc * gap + where
+        order = np.argsort(key, kind="stable")
+        key, item, doc, where, times = key[order], item[order], doc[order], where[order], self.entry_times[entry[order]]
+        sums = np.append(0, np.cumsum(times))
+        held = sums[np.searchsorted(key, key + self.passage[item])] - sums[:-1]
+        seed = np.flatnonzero(held >= self.need[item])
+        key, item, doc, where = key[seed], item[seed], doc[seed], where[seed]
+        # A passage whose first listed word is a seed starts at most its length before and ends at most its length after.
+        cut = np.flatnonzero(np.append(True, np.diff(key) > 2 * self.passage[item[1:]]) if len(key) else [])
+        for a, b in zip(cut, np.append(cut[1:], len(key))):
+            d, k = int(doc[a]), int(item[a])
+            p = int(self.passage[k])
+            yield d, k, max(int(at[d]), int(where[a]) - p), min(int(at[d + 1]), int(where[b - 1]) + p)
+
+    def check(self, k: int, words: np.ndarray, vectors: np.ndarray) -> float:
+        """The greatest share of item k's words that a passage of these words holds in order; 0 if none is accepted.
+
+        vectors: what each hashed word adds to a latent vector.
+        """
+        n, p, least, masks, weight = int(self.size[k]), int(self.passage[k]), int(self.least[k]), self.masks[k], self.weight[k]
+        hit = np.flatnonzero(np.isin(words, self.words[k]))
+        if len(hit) < least or sum(masks[w].bit_count() for w in set(words[hit].tolist())) < least:
             return 0.0  # too few of its words in any order
-        v = lcs(masks, n, listed)
-        share = (n - v.bit_count()) / n
-        if share >= LCS:
-            answer = self.answer[k]
-            if np.isin(answer, words).mean() < ANSWER:
-                return 0.0
-        return share
+        # Every offset; passages that hold the same words of the item are tried once.
+        start = np.arange(len(words))
+        lo, hi = np.searchsorted(hit, start), np.searchsorted(hit, start + p)
+        start = start[hi - lo >= least]
+        pairs, group = np.unique(np.stack([lo, hi], axis=1)[start], axis=0, return_inverse=True)
+        listed, best = words[hit].tolist(), 0.0
+        for g, (a, b) in enumerate(pairs.tolist()):
+            held = set(listed[a:b])
+            if sum(masks[w].bit_count() for w in held) <= best * n or sum(masks[w].bit_count() for w in held) < least:
+                continue
+            share = (n - lcs(masks, n, listed[a:b]).bit_count()) / n
+            if share < LCS or share <= best:
+                continue
+            own = start[group == g]
+            near = own if sum(weight[w] for w in held) >= WEIGHT * self.total[k] else own[self._cosine(k, words, own, vectors) >= COSINE]
+            if any(self._answered(k, words, s) for s in near.tolist()):
+                best = share
+                if best == 1:
+                    break
+        return best
+
+    def _cosine(self, k: int, words: np.ndarray, start: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        a, b = int(start[0]), min(len(words), int(start[-1]) + int(self.passage[k]))
+        sums = np.zeros((b - a + 1, vectors.shape[1]))
+        np.cumsum(vectors[features(words[a:b])], axis=0, out=sums[1:])
+        v = sums[np.minimum(start + self.passage[k], b) - a] - sums[start - a]
+        return (v @ self.vectors[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+
+    def _answered(self, k: int, words: np.ndarray, start: int) -> bool:
+        return np.isin(self.answer[k], words[start : start + self.passage[k]]).mean() >= ANSWER
 
 
 def _search(items: Items, space: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [(int(p), np.flatnonzero(items.passage == p)) for p in np.unique(items.passage[items.passage > 0])]
-        by_word = np.ascontiguousarray(space.T)
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
             for part in slices(batch, "text", 1 << 18):
                 words, at = plain_words(part.column("text"))
-                if not len(words):
-                    continue
-                counts = np.diff(at)
                 best: dict[tuple[int, int], float] = {}
-                # Running sums of the words' latent vectors, one row for each direction.
-                sums = np.zeros((len(by_word), len(words) + 1), np.float32)
-                np.cumsum(np.take(by_word, features(words), axis=1), axis=1, out=sums[:, 1:])
-                for length, own in groups:
-                    step = max(1, length // 3)
-                    n = np.maximum(1, -(-(counts - length) // step) + 1) * (counts > 0)
-                    doc = np.repeat(np.arange(len(counts)), n)
-                    start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-                    stop = np.minimum(start + length, at[doc + 1])
-                    for a in range(0, len(start), 4096):
-                        v = np.take(sums, stop[a : a + 4096], axis=1)
-                        v -= np.take(sums, start[a : a + 4096], axis=1)
-                        norm = np.sqrt(np.einsum("ij,ij->j", v, v))
-                        cosine = (items.vectors[own] @ v) / np.maximum(norm, 1e-9)
-                        for j, i in zip(*np.nonzero(cosine >= COSINE)):
-                            i += a
-                            k = int(own[j])
-                            key = (int(doc[i]), k)
-                            if best.get(key, 0) < 1:
-                                best[key] = max(best.get(key, 0.0), items.check(k, words[start[i] : stop[i]]))
-                out += [(d, k, s) for (d, k), s in best.items() if s >= LCS]
+                for d, k, a, b in items.places(words, at):
+                    if best.get((d, k), 0) < 1:
+                        best[d, k] = max(best.get((d, k), 0.0), items.check(k, words[a:b], space))
+                out = [(d, k, s) for (d, k), s in best.items() if s >= LCS]
                 if out:
                     ids = part.column("doc_id").take(pa.array([d for d, _, _ in out]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([int(items.ids[k]) for _, k, _ in out], pa.int64()), pa.array([s for _, _, s in out], pa.float64())], ["doc_id", "item_id", "coverage"])
-                    out = []
 
     return run
 
@@ -246,15 +307,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns = ["item_id", "text"] + ["answer"] * ("answer" in benchmark.columns)
     items = benchmark.where("item_id is not null").select(*columns)
     n = items.count()
-    space = latent_space(texts) if n else None
-    if space is None:
+    latent = latent_space(texts) if n else None
+    if latent is None:
         return spark.createDataFrame([], schema)
+    space, counts = latent
     blocks = -(-n // ITEM_BLOCK)
     out = None
     for b in range(blocks):  # each block of the query set is bounded, and scans all documents
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").toPandas()
         if len(own):
-            found = texts.mapInArrow(_search(Items(own, space), space), schema)
+            found = texts.mapInArrow(_search(Items(own, space, counts), space), schema)
             out = found if out is None else out.unionByName(found)
     return out
 

@@ -155,6 +155,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_among_repeated_words(spark):
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    items = [r["text"] for r in bench.where("item_id < 20").orderBy("item_id").collect()]
+    rows = [(i, "thenes " * 70 + t + " thenes" * 70) for i, t in enumerate(items)]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").where("doc_id >= 100").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).where("doc_id < 20").collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
