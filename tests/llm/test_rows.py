@@ -164,6 +164,20 @@ def test_leaks_among_repeated_words(spark):
     assert got == {(i, i) for i in range(len(items))}
 
 
+def test_edited_leaks_at_every_offset(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(40)))], "item_id long, text string")
+    items = decontaminate.Items(bench.toPandas(), np.ones((decontaminate.FEATURES, 4), np.float32), np.ones(1 << decontaminate.FINE_BITS, np.int64))
+    kept, length = [i for i in range(40) if i % 5 not in (1, 3)], int(items.passage[0])
+    assert len(kept) == 24  # 60% of the words, and over one whole passage: no shorter or other one holds them
+    text = ["filler"] * length
+    for i, at in zip(kept, np.linspace(0, length - 1, len(kept)).astype(int)):
+        text[at] = f"word{i}"
+    rows = [(k, " ".join(["filler"] * k + text + ["filler"] * 50)) for k in range(30)]
+    rows += [(100 + k, " ".join(["filler"] * k + text[:5] + ["filler"] + text[5:] + ["filler"] * 50)) for k in range(30)]
+    got = {(r["doc_id"], r["coverage"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, 0.6) for k in range(30)}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
