@@ -101,3 +101,56 @@ def test_near_and_far_licences(spark):
     got = {(r["doc_id"], r["license"]): (r["n_units"], r["dice"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     a = licenses._bigrams(rows[0][1])
     assert got == {(1, "Apache-2.0"): (1, round(dice(a, licenses._bigrams(licenses.TEMPLATES["Apache-2.0"][0])), 6)), (5, "MIT"): (2, 1.0), (None, "MIT"): (1, 1.0)}
+
+
+def test_licences_in_their_usual_layout(spark):
+    conditions = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+    1. Redistributions of source code must retain the above copyright notice,
+       this list of conditions and the following disclaimer.
+
+    2. Redistributions in binary form must reproduce the above copyright
+       notice, this list of conditions and the following disclaimer in the
+       documentation and/or other materials provided with the distribution.
+"""
+    third = """
+    3. Neither the name of the copyright holder nor the names of its
+       contributors may be used to endorse or promote products derived from
+       this software without specific prior written permission.
+"""
+    disclaimer = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    gpl2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"
+    prose = "some code and prose of other kinds\nthat goes on for a while\n" * 30
+    head = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n"
+    texts = [head + conditions + disclaimer, head + conditions + third + disclaimer, prose + "\n" + conditions + third + disclaimer + "\n" + prose, f"{prose}\n{apache}\n{prose}", f"{prose}\n{gpl2}\n{prose}", f"{title}\n{prose}"]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "GPL-2.0"), (5, "GPL-3.0")}
