@@ -121,6 +121,13 @@ def test_search_small_is_exact(spark):
     assert ann.search(vectors(spark, rows).limit(0), F.lit(True)).count() == 0
 
 
+def test_search_counts_repeated_rows_once(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=6).tolist(), 0.0) for i in range(60)]
+    once, twice = (sorted(tuple(x) for x in ann.search(vectors(spark, t), F.col("vec_id") % 20 == 0).collect()) for t in (rows, rows + rows[:20] + rows[20:30] * 2))
+    assert once == twice
+
+
 def test_search_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
     x, ids = np.stack(e["embedding"]).astype(np.float32), e["vec_id"].to_numpy()
