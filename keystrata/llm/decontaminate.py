@@ -14,7 +14,8 @@
    is at least ``COSINE``.  So what else stands in the passage can't outweigh a copy.
 5. It must hold at least ``LCS`` of the item's words in order (longest common subsequence) and
    ``ANSWER`` of its answer: the words of column ``answer`` if the benchmark has one, else the
-   last quarter of the item.
+   last quarter of the item.  A given answer may stand up to its own length before or after
+   the passage.
 
 Null or empty texts and items without words match nothing.  Items are held by every task in
 blocks of ``ITEM_BLOCK``, so a large benchmark takes several scans instead of more memory.  Repeated
@@ -179,7 +180,7 @@ class Items:
         sums = np.concatenate([np.zeros((1, space.shape[1]), np.float32), np.cumsum(space[features(words)], axis=0, dtype=np.float64)])
         v = sums[at[1:]] - sums[at[:-1]]
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.masks, self.answer = [], []
+        self.masks, self.answer, self.reach = [], [], np.zeros(len(rows), np.int64)
         given = rows["answer"] if "answer" in rows else pd.Series([None] * len(rows))
         answers, at2 = plain_words(pa.array(given.where(given.notna(), None), pa.string()))
         for k, w in enumerate(self.words):
@@ -188,6 +189,7 @@ class Items:
                 m[x] = m.get(x, 0) | 1 << i
             self.masks.append(m)
             own = answers[at2[k] : at2[k + 1]]
+            self.reach[k] = len(own)
             self.answer.append(own if len(own) else w[len(w) - max(1, len(w) // 4) :])
         # Passage lengths: at least one and a half times the item's words, in steps of a quarter.
         self.passage = np.where(self.size > 0, 12 * 1.25 ** np.ceil(np.log(np.maximum(1.5 * self.size, 12) / 12) / np.log(1.25)), 0).astype(np.int64)
@@ -237,7 +239,7 @@ class Items:
         cut = np.flatnonzero(np.append(True, np.diff(key) > 2 * self.passage[item[1:]]) if len(key) else [])
         for a, b in zip(cut, np.append(cut[1:], len(key))):
             d, k = int(doc[a]), int(item[a])
-            p = int(self.passage[k])
+            p = int(self.passage[k] + self.reach[k])
             yield d, k, max(int(at[d]), int(where[a]) - p), min(int(at[d + 1]), int(where[b - 1]) + p)
 
     def check(self, k: int, words: np.ndarray, vectors: np.ndarray) -> float:
@@ -278,7 +280,8 @@ class Items:
         return (v @ self.vectors[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
 
     def _answered(self, k: int, words: np.ndarray, start: int) -> bool:
-        return np.isin(self.answer[k], words[start : start + self.passage[k]]).mean() >= ANSWER
+        reach = int(self.reach[k])
+        return np.isin(self.answer[k], words[max(0, start - reach) : start + self.passage[k] + reach]).mean() >= ANSWER
 
 
 def _search(items: Items, space: np.ndarray):

@@ -205,6 +205,16 @@ def test_answers_decide(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1)}
 
 
+def test_answers_longer_than_the_question(spark):
+    rows, texts = [], []
+    for k, (q, a) in enumerate([(10, 20), (20, 60), (40, 120)]):
+        question, answer = (" ".join(f"{kind}{k}x{i}" for i in range(n)) for kind, n in (("q", q), ("a", a)))
+        rows.append((k, question, answer))
+        texts += [(2 * k, f"{'other ' * 30}{question} {answer}{' other' * 30}"), (2 * k + 1, f"{'other ' * 30}{question}{' other' * 200} {answer}")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string, answer string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(2 * k, k) for k in range(3)}
+
+
 def test_plain_words():
     a, at = decontaminate.plain_words(pa.array(["ÉTÉ, one--two", "été one two", None]))
     assert at.tolist() == [0, 3, 6, 6] and (a[:3] == a[3:]).all()
