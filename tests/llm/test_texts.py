@@ -151,6 +151,44 @@ the Free Software Foundation; either version 2 of the License, or
     title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"
     prose = "some code and prose of other kinds\nthat goes on for a while\n" * 30
     head = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n"
+    comment = "#!/bin/sh\n# Copyright 2020 Somebody\n#\n" + "".join(f"# {x}".rstrip() + "\n" for x in apache.splitlines()) + "#\nset -e\n"
     texts = [head + conditions + disclaimer, head + conditions + third + disclaimer, prose + "\n" + conditions + third + disclaimer + "\n" + prose, f"{prose}\n{apache}\n{prose}", f"{prose}\n{gpl2}\n{prose}", f"{title}\n{prose}"]
+    texts += [f"{prose}\n{comment}{prose}", f"{prose}\n{head}{conditions}{disclaimer}\n{prose}"]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "GPL-2.0"), (5, "GPL-3.0")}
+    assert got == {(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (2, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "GPL-2.0"), (5, "GPL-3.0"), (6, "Apache-2.0"), (7, "BSD-2-Clause")}
+
+
+def test_licences_in_odd_texts(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, "word " * 400_000 + "\n" + notice + "\n" + "other words\n\n" * 5_000), (2, "\n" * 100_000), (3, "x" * 2_000_000), (4, f"{notice}\n\n{notice}\n{notice}"), (4, None)]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, license string, dice int")
+    got = {r["doc_id"]: (r["license"], r["n_units"], r["dice"]) for r in licenses.scan(df).collect()}
+    assert got == {1: ("MIT", 1, 1.0), 4: ("MIT", 1, 1.0)}  # of 4 the whole text has the same bigrams and one more
+    assert licenses.scan(df.limit(0)).count() == 0
+    own = {"House": ["You may read this text at home but not in the garden.", "one"]}
+    text = "you may read this text at home, but not in the Garden"
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame([(1, text), (2, notice)], "doc_id long, text string"), own).collect()] == [(1, "House")]
+
+
+def test_no_match_is_lost_by_the_filters(spark):
+    """Random edits of templates among other lines: what plain Dice over all units finds is what the scan finds."""
+    r, known = np.random.default_rng(5), licenses.templates()
+    rows = []
+    for i in range(120):
+        name, texts = list(licenses.TEMPLATES.items())[i % len(licenses.TEMPLATES)]
+        words = texts[i % len(texts)].split()
+        words = [w if r.random() > 0.06 else "zzz" for w in words if r.random() > 0.05]
+        rows.append((i, "some prose under the public version of it\n" + " ".join(words) + "\nand more of the software"))
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set()
+    for i, t in rows:
+        lines = t.split("\n")
+        best = {}
+        for k, u in enumerate([*lines, t]):
+            a = licenses._bigrams(u)
+            scores = [(-round(dice(a, b), 6), n) for n, b in known if a]
+            if min(scores)[0] <= -0.8:
+                best[k] = min(scores)[1]
+        own = {n for k, n in best.items() if k == len(lines) or len(lines) not in best}
+        want |= {(i, n) for n in own}
+    assert got == want and len(want) > 60
