@@ -3,11 +3,13 @@
 The network is trained here, in numpy, by backpropagation through time.  It reads a text's
 UTF-8 bytes (A-Z in lower case) in windows of ``WINDOW`` bytes, once in each direction, and
 labels every position with a probability for each language; a document's probabilities are
-the mean over all its positions.  Gates use a hard sigmoid and the candidate state softsign,
-in training as in prediction, so prediction is matrix products and cheap array operations.
+the mean over all its positions.  A window is read alone: what shares a batch with it doesn't
+matter.  Gates use a hard sigmoid and the candidate state softsign, in training as in
+prediction, so prediction is matrix products and cheap array operations.
 
 Training sees at most ``SAMPLE`` documents of each language, the first by a hash of their
-id, and one window of each; that bound is the only sampling.  Prediction covers every
+id and text (equal rows once), and one window of ``TRAIN_WINDOW`` bytes of each, at a place that
+the hash gives; these bounds are the only sampling.  Prediction covers every
 byte of every text, in batches of ``BATCH`` windows, so memory doesn't depend on a text's length.
 
 A text that is null or has no letter is ``und`` with score 0.  Ties go to the first language
@@ -22,7 +24,7 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -46,8 +48,8 @@ class Gru:
         self.h = hidden
         self.p = {"w0": f(3 * hidden, 256), "u0": f(3 * hidden, hidden), "w1": f(3 * hidden, 256), "u1": f(3 * hidden, hidden), "v": f(classes, 2 * hidden), "c": np.zeros((classes, 1), np.float32)}
 
-    def _forward(self, x: np.ndarray, d: int) -> dict:
-        """x: T x B bytes in reading order; keeps what backpropagation needs."""
+    def _forward(self, x: np.ndarray, d: int, mask: np.ndarray) -> dict:
+        """x: T x B bytes in reading order, mask: 1 where there is a byte (state 0 elsewhere); keeps what backpropagation needs."""
         n, w, u = self.h, self.p[f"w{d}"], self.p[f"u{d}"]
         h, kept = np.zeros((n, x.shape[1]), np.float32), {k: [] for k in ("h", "zr", "g", "n")}
         out = []
@@ -58,17 +60,17 @@ class Gru:
             new = pre / (1 + np.abs(pre))
             for k, value in zip(("h", "zr", "g", "n"), (h, zr, g[2 * n :], new)):
                 kept[k].append(value)
-            h = new + zr[:n] * (h - new)
+            h = (new + zr[:n] * (h - new)) * mask[t]
             out.append(h)
         return kept | {"out": out}
 
-    def _backward(self, x: np.ndarray, d: int, kept: dict, grads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _backward(self, x: np.ndarray, d: int, mask: np.ndarray, kept: dict, grads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, u = self.h, self.p[f"u{d}"]
         dw, du, carry = np.zeros_like(self.p[f"w{d}"]), np.zeros_like(u), 0
         eye = np.eye(256, dtype=np.float32)
         for t in range(len(x) - 1, -1, -1):
             h, zr, g, new = (kept[k][t] for k in ("h", "zr", "g", "n"))
-            dh = grads[t] + carry
+            dh = (grads[t] + carry) * mask[t]
             dpre = dh * (1 - zr[:n]) * (1 - np.abs(new)) ** 2
             dzr = np.concatenate([dh * (h - new), dpre * g]) * (0.2 * ((zr > 0) & (zr < 1)))
             dg = np.concatenate([dzr, dpre * zr[n:]])
@@ -80,7 +82,7 @@ class Gru:
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """x, mask: T x B; y: B class numbers.  Mean cross-entropy over the positions, and its gradients."""
         n, v = self.h, self.p["v"]
-        f, b = self._forward(x, 0), self._forward(x[::-1], 1)
+        f, b = self._forward(x, 0, mask), self._forward(x[::-1], 1, mask[::-1])
         total, loss, dv, dc = max(1.0, float(mask.sum())), 0.0, np.zeros_like(v), np.zeros_like(self.p["c"])
         df, db = [], []
         for t in range(len(x)):
@@ -97,8 +99,8 @@ class Gru:
             df.append(back[:n])
             db.append(back[n:])
         g = {"v": dv, "c": dc}
-        g["w0"], g["u0"] = self._backward(x, 0, f, df)
-        g["w1"], g["u1"] = self._backward(x[::-1], 1, b, db[::-1])
+        g["w0"], g["u0"] = self._backward(x, 0, mask, f, df)
+        g["w1"], g["u1"] = self._backward(x[::-1], 1, mask[::-1], b, db[::-1])
         return loss / total, g
 
     def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 1) -> float:
@@ -130,7 +132,7 @@ class Gru:
         shift = np.concatenate([np.full(2 * n, 0.5), np.zeros(n)]).astype(np.float32)[:, None]
         states = np.empty((2, steps, n, batch), np.float32)
         a, g, tmp = np.empty((width, batch), np.float32), np.empty((width, batch), np.float32), np.empty((n, batch), np.float32)
-        index = x.astype(np.intp)
+        index, shortest = x.astype(np.intp), int(sizes.min()) if batch else 0
         for d in (0, 1):
             w, u = np.ascontiguousarray(self.p[f"w{d}"] * scale + shift), np.ascontiguousarray(self.p[f"u{d}"] * scale)
             h = np.zeros((n, batch), np.float32)
@@ -151,6 +153,8 @@ class Gru:
                 tmp *= zr[:n]
                 h = states[d, t]
                 np.add(new, tmp, out=h)
+                if d and t >= shortest:  # reading back starts at a window's own last byte
+                    h *= sizes > t
         v, out = self.p["v"], np.zeros((len(self.p["c"]), batch), np.float32)
         for t in range(steps):
             e = v[:, :n] @ states[0, t]
@@ -211,20 +215,29 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Gru | None, list[str]]:
     """Learn from text and lang of the documents given."""
     ship(docs.sparkSession)
-    h = F.xxhash64("doc_id", F.lit(5))
-    # A window somewhere in the text; whole characters, cut to bytes later.
-    at = (F.lit(1) + F.pmod(h, F.greatest(F.length("text") - TRAIN_WINDOW, F.lit(1)).cast("long"))).cast("int")
-    rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substr("text", at, F.lit(TRAIN_WINDOW)).alias("part"), h.alias("h"))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rn") <= sample).select(F.lit(1).alias("g"), "lang", "part")
+    h = F.xxhash64("doc_id", "text", F.lit(5))
+    # A window of bytes somewhere in the text.
+    body = F.col("text").cast("string").cast("binary")
+    at = (F.lit(1) + F.pmod(h, F.greatest(F.octet_length(body) - TRAIN_WINDOW, F.lit(1)).cast("long"))).cast("int")
+    rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substring(body, at, F.lit(TRAIN_WINDOW)).alias("part"), h.alias("h"))
+    # One row for each class, as the model has one weight vector for each.  Rows under a bound on their hash
+    # that twice the sample is expected to stay under are gathered, so no task sorts a language.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("h", "part")).alias("first"))
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")).alias("share"))
+    u = (F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    few = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "h", "part")
+    few = few.unionByName(sizes.select("lang", "first.h", "first.part")).distinct()
     # The bounded sample is learnt from in one task, where numpy has a single thread.
-    got = rows.groupBy("g").applyInPandas(_learn, "model binary").first()
+    got = few.select(F.lit(1).alias("g"), "lang", "h", "part").groupBy("g").applyInPandas(lambda f: _learn(f, sample), "model binary").first()
     return pickle.loads(bytes(got["model"])) if got else (None, [])
 
 
-def _learn(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["lang", "part"])
+def _learn(rows: pd.DataFrame, sample: int) -> pd.DataFrame:
+    rows["u"] = rows["h"] % (1 << 40)
+    rows = rows.sort_values(["lang", "u", "h", "part"], kind="stable").groupby("lang").head(sample)
+    rows = rows.sort_values(["lang", "part"], kind="stable")
     classes = sorted(rows["lang"].unique())
-    raw = [LOWER[np.frombuffer(t.encode()[:TRAIN_WINDOW], np.uint8)] for t in rows["part"]]
+    raw = [LOWER[np.frombuffer(bytes(t), np.uint8)] for t in rows["part"]]
     x = np.zeros((len(raw), TRAIN_WINDOW), np.uint8)
     for i, r in enumerate(raw):
         x[i, : len(r)] = r

@@ -30,7 +30,8 @@ def test_fast_prediction_equals_the_training_network():
     m = langid.Gru(3)
     x, sizes = r.integers(97, 123, (20, 7)).astype(np.uint8), np.array([20, 20, 3, 20, 11, 1, 20])
     x[np.arange(20)[:, None] >= sizes] = 0
-    f, b = m._forward(x, 0), m._forward(x[::-1], 1)
+    mask = (np.arange(20)[:, None] < sizes).astype(np.float32)
+    f, b = m._forward(x, 0, mask), m._forward(x[::-1], 1, mask[::-1])
     want = np.zeros((3, 7))
     for t in range(20):
         e = np.exp(m.p["v"] @ np.concatenate([f["out"][t], b["out"][19 - t]]) + m.p["c"])
@@ -38,6 +39,37 @@ def test_fast_prediction_equals_the_training_network():
     assert np.allclose(m.position_sums(x, sizes), want, atol=1e-4)
 
 
+def test_labels_against_one_network_pass_a_text():
+    """Windows, batches and pooling: each text's windows one by one through the training network."""
+    r = np.random.default_rng(2)
+    m = langid.Gru(3)
+    texts = ["", None, "a", "é" * 100, "12 34"] + ["".join(r.choice(list("abc déf\n"), int(n))) for n in r.integers(1, 700, 30)]
+    lang, score = langid._label(m, ["x", "y", "z"], pa.array(texts))
+    for t, got, s in zip(texts, lang, score):
+        raw = langid.LOWER[np.frombuffer((t or "").encode(), np.uint8)]
+        if not any(c.isalpha() for c in t or ""):
+            assert (got, s) == ("und", 0)
+            continue
+        total = np.zeros(3)
+        for k in range(0, len(raw), langid.WINDOW):
+            x = raw[k : k + langid.WINDOW][:, None]
+            one = np.ones_like(x, np.float32)
+            f, b = m._forward(x, 0, one)["out"], m._forward(x[::-1], 1, one)["out"][::-1]
+            for p, q in zip(f, b):
+                e = np.exp(m.p["v"] @ np.concatenate([p, q]) + m.p["c"])[:, 0]
+                total += e / e.sum()
+        assert abs(s - total.max() / len(raw)) < 1e-4 and got in ("x", "y", "z") and total["xyz".index(got)] > total.max() - 1e-3
+
+
+def test_sample_of_a_hot_language(spark):
+    """No window over a language; a hot row counts once, and every language is learnt."""
+    rows = [(1, "ab cd ef " * 9, "one")] * 4000 + [(i, f"gh ij kl {i} " * 9, "one") for i in range(300)] + [(999, "mn op " * 20, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, classes = langid.train(df, sample=50)
+    assert classes == ["one", "two"]
+    assert [x["lang_pred"] for x in langid.predict(df.where("doc_id = 999"), model, classes).collect()] == ["two"]
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     model, classes = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
