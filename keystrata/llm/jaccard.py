@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, join_by_key
 from .textops import mix, shingle_sets, slices, tidy
 
 NUM, DEN = 4, 5
@@ -398,16 +398,16 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profile = scratch.table(texts.mapInArrow(_profiles(n), "doc_id long, n_shingles long, digest binary, short long"), "profile")
-    total = profile.agg(F.sum("n_shingles")).first()[0] or 0
+    total, n_rows = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     texts = texts.where("doc_id is not null")
-    classes = profile.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
+    classes = profile.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("short").alias("short"), F.count("*").alias("copies"))
     buckets = max(parts, int(total * 0.3) // (1 << 20))
     shared = texts.mapInArrow(_prefixes(n, buckets), "bucket long, keys binary, owners binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
     keep = F.col("shared") >= F.ceil(F.ceil(F.col("n") * NUM / DEN) / 10)
     candidates = scratch.table(classes.join(shared, "short").where(keep).select("cid", "n"), "candidates")
     found = candidates.count()
-    named = classes.select("digest", F.col("cid").alias("component"))
-    finish = lambda named: profile.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named = classes.select("digest", F.col("cid").alias("component"), F.col("copies").alias("n"))
+    finish = lambda named: join_by_key(profile, named, "digest", n_rows, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     if not found:
         return finish(named)
     if found <= BLOOM_ROWS:
@@ -444,7 +444,7 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
         more = scratch.table(_rest(grids, sets, label, scratch).unionByName(_rest(lists, sets, label, scratch)), "more")
         label = components(links.unionByName(more), scratch).withColumnsRenamed({"id": "cid", "component": "label"})
     scratch.drop(candidates, sets, posts)
-    named = classes.select("digest", "cid").join(label, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"))
+    named = classes.select("digest", "cid", "copies").join(label, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"), F.col("copies").alias("n"))
     return finish(named)
 
 

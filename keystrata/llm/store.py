@@ -1,29 +1,20 @@
-"""Shared scratch space: where operators cut lineage, and small driver-side aggregates.
+"""Shared scratch space, where operators cut lineage, and a join that splits hot keys.
 
-Everything goes under ``spark.checkpoint.dir``, which driver and executors share.  A
-local folder is used only where that setting is absent, as in tests.
+Everything goes under ``spark.checkpoint.dir``, which driver and executors share, and is removed
+when the application ends.  A local folder is used only by a local master without that
+setting, as in tests; a cluster without it is refused.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import removed_at_end, shared_dir, ship
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one of this process where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _local:
-        _local["dir"] = "file://" + tempfile.mkdtemp(prefix="keystrata-")
-    return _local["dir"]
+HOT = 200  # a key is hot if it has more than this part of all rows, so there are fewer hot keys than this
 
 
 class Scratch:
@@ -33,6 +24,7 @@ class Scratch:
         self.spark = spark
         ship(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        removed_at_end(spark, self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts lineage, and survives the loss of any executor."""
@@ -49,3 +41,19 @@ class Scratch:
                 if "/" + self.path.rpartition("/")[2] + "/" in folder + "/":
                     path = jvm.org.apache.hadoop.fs.Path(folder)
                     path.getFileSystem(conf).delete(path, True)
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with keyed, which has one row for each key and counts the key's rows in column ``n``.
+
+    Keys with more than a part in HOT of all rows are broadcast (fewer than HOT rows), and rows without a
+    key are not dealt; so whatever the shuffle deals to one task has at most that part.  n is dropped.
+    """
+    hot = F.col("n") * HOT > total
+    few = keyed.where(hot).select(F.col(key).alias("_hot"))
+    hits = F.broadcast(few)
+    many = rows.join(hits, F.col(key) == hits["_hot"], "left").withColumn("_hot", F.col("_hot").isNotNull())
+    by_broadcast = rows.join(F.broadcast(keyed.where(hot).drop("n")), key)
+    rest = many.where(~F.col("_hot")).drop("_hot")
+    out = by_broadcast.unionByName(rest.where(F.col(key).isNotNull()).join(keyed.where(~hot).drop("n"), key, how))
+    return out.unionByName(rest.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out

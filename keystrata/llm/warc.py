@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, join_by_key
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 512
@@ -129,9 +129,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     p = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = p.select("*", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
-    # Digests are counted with map-side combine; the join back is one that Spark can split where a digest is hot.
-    first = p.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    # Digests are counted with map-side combine; hot ones are broadcast in the join back.
+    first = p.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    p = join_by_key(p, first, "digest", pages.count(), "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
     return p.select("page_id", "url", "html", "digest", "size", "refers_to").mapInPandas(_archive(folder), CAPTURE)
 
 

@@ -93,6 +93,21 @@ def test_pack_keeps_everything(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_pack_keeps_the_constraints_over_shards(spark):
+    """Against the documents: every piece once, and in no bin two of a cluster or three of a source; null ids spread."""
+    r = random.Random(6)
+    rows = [(None if i % 3 == 0 else i, r.choice(["hot", "hot", "b", "c", None, f"s{i}"]), "w" * r.randrange(0, 700), r.choice([None, 1, 1, i]), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, component_id long, bin_id long")
+    got = packing.pack(df.where("doc_id is not null"), 1000, 2, "component_id", 200).toPandas()
+    own = {x[0]: x for x in rows if x[0] is not None}
+    assert sorted(got["doc_id"]) == sorted(own) and len(set(got["bin_id"] // 2**32)) >= 4
+    for _, b in got.groupby("bin_id"):
+        sources, clusters = ([own[d][k] for d in b["doc_id"] if own[d][k] is not None] for k in (1, 3))
+        assert b["n_tokens"].sum() <= 1000 and max(map(sources.count, sources), default=0) <= 2 and len(set(clusters)) == len(clusters)
+    shards = packing.pack(df.select("source", "text", F.lit(None).alias("doc_id")), 1000, 2, None, 100).toPandas()
+    assert shards["n_tokens"].sum() == sum(len(x[2]) + 1 for x in rows) and shards.groupby(shards["bin_id"] // 2**32).size().max() < 200
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double")
 
