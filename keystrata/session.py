@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,17 +14,17 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, str] = {}
 
 
-ARROW_ROWS = "1000"
+BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ship(spark: SparkSession) -> None:
     """Make the package importable in the Python workers of every executor, once for each application.
 
-    Rows here hold whole texts, so a session that has Spark's default of 10,000 rows in an
-    Arrow batch gets ``ARROW_ROWS``: memory of Python and JVM follows the batch.
+    Rows here hold whole texts, and memory of Python and JVM follows the Arrow batch, so a session that
+    doesn't set the rows of a batch itself gets ``ARROW_ROWS``.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get(BATCH, "0") == "0":
+        spark.conf.set(BATCH, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -48,7 +49,36 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared space; a local one only where none is named."""
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one for a local master without that setting.
+
+    On a cluster there must be one: what executors write to a machine's own folder nobody else sees.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='keystrata-')).rstrip('/')}/work-{uuid.uuid4().hex}"
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="keystrata-")
+        removed_at_end(spark, _local[app])
+    return _local[app]
+
+
+def removed_at_end(spark: SparkSession, folder: str) -> None:
+    """Make a folder that the file system removes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed when the application ends."""
+    folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    removed_at_end(spark, folder)
+    return folder
