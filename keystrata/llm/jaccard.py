@@ -448,15 +448,10 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     return finish(named)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among the ids (one column doc_id, stored): an anti-join.
-
-    While the ids fit the fixed-size filter, only rows that it can't clear are shuffled.
-    """
-    ids = ids.select(F.col("doc_id").cast("long").alias("cid")).where("cid is not null").distinct()
-    anti = lambda d: d.join(ids, d["doc_id"] == ids["cid"], "left_anti")
+def _among(docs: DataFrame, ids: DataFrame, key: str) -> Column | None:
+    """Whether a row's key may be among the ids, by a filter of fixed size; None where there are too many ids for it."""
     if ids.count() > BLOOM_ROWS:
-        return anti(docs)
+        return None
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
 
     @F.arrow_udf("boolean")
@@ -465,8 +460,27 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
         p = _bits(i.fill_null(0).to_numpy(zero_copy_only=False))
         return pa.array(((packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).reshape(4, -1).all(axis=0))
 
-    hit = maybe(F.col("doc_id").cast("long"))
-    return docs.where(~hit).unionByName(anti(docs.where(hit)))
+    return maybe(F.col(key).cast("long"))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key isn't among the ids (one column doc_id, stored): an anti-join.
+
+    While the ids fit the fixed-size filter, only rows that it can't clear are shuffled.
+    """
+    ids = ids.select(F.col("doc_id").cast("long").alias("cid")).where("cid is not null").distinct()
+    anti = lambda d: d.join(ids, d[key] == ids["cid"], "left_anti")
+    hit = _among(docs, ids, key)
+    return anti(docs) if hit is None else docs.where(~hit).unionByName(anti(docs.where(hit)))
+
+
+def once(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """One row of docs for each key; ids (column doc_id, stored): the keys that several rows have."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("cid"))
+    if ids.isEmpty():
+        return docs
+    hit = _among(docs, ids, key)
+    return docs.dropDuplicates([key]) if hit is None else docs.where(~hit).unionByName(docs.where(hit).dropDuplicates([key]))
 
 
 def op1_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

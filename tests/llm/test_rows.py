@@ -207,6 +207,37 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    """Edited items (replacements, insertions, drops) in documents' own prose: every start position of every document and
+    item through the acceptance test finds what the index of rare words finds."""
+    r = np.random.default_rng(12)
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(150).toPandas()[["doc_id", "text"]]
+    pool = " ".join(t for t in docs["text"][:40] if t).split()
+    rows = [(int(d), t) for d, t in docs.itertuples(index=False)]
+    for k, item in enumerate(bench.orderBy("item_id").toPandas()["text"]):
+        for j, (keep, insert) in enumerate([(0.75, 0.0), (0.85, 0.3), (0.8, 0.4), (0.65, 0.0)]):
+            words = []
+            for w in item.split():
+                words.append(w if r.random() < keep else r.choice(pool))
+                if r.random() < insert:
+                    words.append(r.choice(pool))
+            rows.append((10_000 + 10 * k + j, " ".join([*r.choice(pool, 30), *words, *r.choice(pool, 30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["coverage"] for x in decontaminate.leaks(df, bench).collect()}
+    space, counts = decontaminate.latent_space(df)
+    items = decontaminate.Items(bench.orderBy("item_id", "text").toPandas(), space, counts)
+    want = {}
+    for d, t in rows:
+        words, _ = decontaminate.plain_words(pa.array([t]))
+        for k, item in enumerate(items.ids):
+            best = items.check(k, words, space)
+            if best:
+                want[d, int(item)] = best
+    planted = [(10_000 + 10 * k + j, int(i)) for k, i in enumerate(items.ids) for j in range(4)]
+    assert got == want and sum(p in got for p in planted[0::4]) >= 0.9 * len(items.ids)
+
+
 def test_leaks_among_repeated_words(spark):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     items = [r["text"] for r in bench.where("item_id < 20").orderBy("item_id").collect()]
