@@ -30,16 +30,29 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.accepted(docs, model)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key for each row, and the key's name: a hash of doc_id and text, as ids may be null or repeated."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every group of near-duplicates."""
-    c = jaccard.jaccard_components(docs)
-    return jaccard.without(docs, Scratch(spark, "near-duplicates").table(c.where("component_id <> doc_id").select("doc_id"), "others"))
+    """Keep one document of every group of near-duplicates, and one row of equal ones (id and text)."""
+    rows, key = keyed(docs)
+    scratch = Scratch(spark, "near-duplicates")
+    c = scratch.table(jaccard.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select("doc_id", "component_id"), "components")
+    others = scratch.table(c.where("component_id <> doc_id").select("doc_id"), "others")
+    repeated = scratch.table(c.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    return jaccard.once(jaccard.without(rows, others, key), repeated, key).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return jaccard.without(docs, Scratch(spark, "decontamination").table(found.select("doc_id").distinct(), "leaks"))
+    rows, key = keyed(docs)
+    found = decontaminate.leaks(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return jaccard.without(rows, Scratch(spark, "decontamination").table(found.select("doc_id").distinct(), "leaks"), key).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(before)  # what a stage has read nothing reads again
     return STAGES[-1][1](spark, docs, sf_dir)
