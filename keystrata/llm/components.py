@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (with map-side combine) and one join in which hubs are broadcast,
-so the links of a vertex never meet in one task; lineage is cut after every round.
+Each step is a grouped minimum (with map-side combine) and one join of the links with these minima;
+lineage is cut after every round.  The links of a hub meet in one partition of that join
+as a stream, not as a list; adaptive execution splits it where it is skewed.
 """
 
 from __future__ import annotations
@@ -9,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, join_by_key
+from .store import Scratch
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links of u point to the smallest vertex of u's neighbourhood; large: those to larger ones, else to smaller ones."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        out = join_by_key(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        out = join_by_key(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -35,7 +36,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(edges, "links")
     seen = _sign(edges)
     while seen[0]:
-        new = scratch.table(_star(_star(edges, True, seen[0]), False, seen[0]), "links")
+        new = scratch.table(_star(_star(edges, True), False), "links")
         scratch.drop(edges)
         edges, last, seen = new, seen, _sign(new)
         if seen == last:
