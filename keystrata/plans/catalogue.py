@@ -138,6 +138,13 @@ def compact_keep(spark, d):
     return versions.merge_runs([event_runs(spark, d)], bottom=False).drop("run_id")
 
 
+@query(f"SELECT key, seq, run_id, row_number() OVER (ORDER BY key, seq DESC) AS position FROM ({R})")
+def merge_order(spark, d):
+    """The order in which a merge reads all versions: by key, newest first; seq lies under 2**32 here."""
+    place = F.col("key") * (1 << 32) - F.col("seq")
+    return queues.fifo_batches(event_runs(spark, d).select("key", "seq", "run_id", place.alias("place")), F.col("place")).select("key", "seq", "run_id", "position")
+
+
 @query(f"SELECT key, seq, op, value FROM ({R}) {NEWEST} AND op = 'put'")
 def compact_drop(spark, d):
     return versions.merge_runs([event_runs(spark, d)], bottom=True).drop("run_id")
@@ -275,7 +282,16 @@ def map_replay(spark, d):
     return versions.map_replay(ops).select("key", "seq", F.when(F.col("op") == "insert", "put").otherwise("delete").alias("op"), "prior")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS queue, event_id AS seq, CASE WHEN event_id % 3 <> 0 THEN 'push' ELSE 'pop' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT user_id AS queue, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST([] AS BIGINT[]) AS held, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS BIGINT) AS out FROM events GROUP BY user_id
+  UNION ALL SELECT e.queue, e.rn, e.seq, e.op,
+    CASE WHEN e.op = 'push' AND len(held) < 16 THEN list_append(held, e.seq) WHEN e.op = 'pop' THEN held[2:] ELSE held END,
+    CASE WHEN e.op = 'push' THEN CASE WHEN len(held) < 16 THEN 'ok' ELSE 'full' END ELSE CASE WHEN len(held) > 0 THEN 'ok' ELSE 'empty' END END,
+    CASE WHEN e.op = 'pop' THEN held[1] END
+  FROM f JOIN e ON e.queue = f.queue AND e.rn = f.rn + 1)
+SELECT queue, seq, op, result, out FROM f WHERE rn > 0
+""")
 def queue_replay(spark, d):
     """One bounded queue for each user: two events of three push, the third pops."""
     e = table(spark, d, "events").select(F.col("user_id").alias("queue"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, "push").otherwise("pop").alias("op"), F.col("event_id").alias("item"))
@@ -323,7 +339,10 @@ def wire_get(spark, d):
     return found.select("key", "seq", wire.u64(F.col("value")).cast("long").alias("reply"))
 
 
-@query()
+TORN = "QUALIFY run_id % 3 <> 0 OR row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) > 1"
+
+
+@query(f"SELECT 'run-' || run_id AS path, seq + 1 AS wal_seq, CAST(key AS VARCHAR) AS key, seq, op, value FROM ({R}) {TORN}")
 def wal_replay(spark, d):
     """Encode the event log as one log for each run, tear every third at its end, and replay the valid prefixes."""
     ship(spark)
@@ -337,22 +356,59 @@ def wal_replay(spark, d):
         return pd.DataFrame({"path": [f"run-{run}"], "content": [data]})
 
     files = log.select("run_id", "seq", frame.alias("frame")).groupBy("run_id").applyInPandas(gather, "path string, content binary")
-    return wal.replay(files).select("path", "wal_seq", F.col("key").cast("string").alias("key"), "seq", "op", F.col("value").cast("string").alias("value"))
+    return wal.replay(files).select("path", "wal_seq", F.col("key").cast("string").alias("key"), "seq", "op", F.col("value").cast("string").cast("double").alias("value"))
 
 
-@query()
+@query(f"SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS wal_seq FROM ({R})")
+def log_append(spark, d):
+    """Each run's changes appended to a log in three goes: reopened, and torn and reopened, then read back."""
+    ship(spark)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        payloads = [str(s).encode() for s in sorted(pdf["seq"])]
+        a, b = len(payloads) // 3, 2 * len(payloads) // 3
+        log, _ = wal.append(b"", payloads[:a])
+        log, _ = wal.append(log, payloads[a:b])
+        log, _ = wal.append(log + b"torn frame", payloads[b:])
+        rows = [(int(pdf["run_id"].iloc[0]), int(r[4]), r[3]) for r in wal.scan(log) if r[5] == "ok"]
+        return pd.DataFrame(rows, columns=["run_id", "seq", "wal_seq"])
+
+    return event_runs(spark, d).select("run_id", "seq").groupBy("run_id").applyInPandas(write, "run_id long, seq long, wal_seq long")
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq FROM ({A}) {NEWEST} AND op = 'put'")
+def log_recover(spark, d):
+    """Logs of every run, one of them torn behind its last frame, flushed into a new table, twice."""
+    ship(spark)
+    log = event_runs(spark, d).select("run_id", F.col("key").cast("string").cast("binary").alias("key"), "seq", "op", F.col("value").cast("string").cast("binary").alias("value"))
+    frame = wal.encode(wal.change_payload(F.col("key"), F.col("seq"), F.col("op"), F.col("value")), F.col("seq") + 1)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = wal.padded([bytes(x) for x in pdf.sort_values("seq")["frame"]])
+        return pd.DataFrame({"path": [f"run-{int(pdf['run_id'].iloc[0])}"], "content": [data + b"torn"]})
+
+    files = log.select("run_id", "seq", frame.alias("frame")).groupBy("run_id").applyInPandas(gather, "path string, content binary")
+    t = KVTable.open(spark, work_dir(spark))
+    t.recover(files)
+    t.recover(files)
+    return t.scan().select(F.col("key").cast("string").alias("key"), "seq")
+
+
+@query("SELECT event_id AS seq, 13 + length(CAST(user_id AS VARCHAR)) + CASE WHEN event_type <> 'error' THEN length(event_type) ELSE 0 END AS len, true AS crc_ok, 'ok' AS status FROM events")
 def wal_frame_status(spark, d):
     """CRC of every change's frame, computed by Spark and checked by the decoder."""
     ship(spark)
-    log = event_log(spark, d)
-    body = wal.change_payload(F.col("key").cast("string").cast("binary"), F.col("seq"), F.col("op"), F.col("value").cast("string").cast("binary"))
+    log = changes(table(spark, d, "events"), F.col("user_id"), F.col("event_id"), F.col("event_type") == "error", F.col("event_type"))
+    body = wal.change_payload(F.col("key").cast("string").cast("binary"), F.col("seq"), F.col("op"), F.col("value").cast("binary"))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             first = [next(wal.scan(bytes(x))) for x in f["frame"]]
-            yield pd.DataFrame({"seq": f["seq"], "crc": [r[1] for r in first], "status": [r[5] for r in first]})
+            yield pd.DataFrame({"seq": f["seq"], "len": [r[2] for r in first], "crc_ok": [r[1] == c for r, c in zip(first, f["crc"])], "status": [r[5] for r in first]})
 
-    return log.select("seq", wal.encode(body, F.col("seq") + 1).alias("frame")).mapInPandas(check, "seq long, crc long, status string")
+    framed = log.select("seq", wal.encode(body, F.col("seq") + 1).alias("frame"))
+    framed = framed.withColumn("crc", F.crc32(F.substring("frame", 5, 1 << 30)))
+    return framed.mapInPandas(check, "seq long, len long, crc_ok boolean, status string")
 
 
 # Telemetry

@@ -19,8 +19,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..session import ship
 
 HEADER, SECTOR = 16, 4096
-MAX_PAYLOAD = (1 << 20) - SECTOR
-FRAMES = "pos long, crc long, len int, wal_seq long, payload binary, status string"
+MAX_PAYLOAD = (1 << 20) - SECTOR  # that a writer takes
+MAX_DECODED = 16 << 20  # that a reader takes
+FRAMES = "pos long, crc long, len long, wal_seq long, payload binary, status string"
 
 
 def le(value: Column, size: int) -> Column:
@@ -62,7 +63,7 @@ def scan(data: bytes) -> Iterator[tuple]:
         if crc == size == seq == 0:
             yield pos, None, None, None, None, "end_of_log"
             return
-        bad = "bad_length" if size > MAX_PAYLOAD else "truncated" if len(data) - pos - HEADER < size else None
+        bad = "bad_length" if size > MAX_DECODED else "truncated" if len(data) - pos - HEADER < size else None
         if not bad:
             body = data[pos + 4 : pos + HEADER + size]
             bad = "bad_crc" if zlib.crc32(body) != crc else "regression" if seq <= previous else None
@@ -73,6 +74,22 @@ def scan(data: bytes) -> Iterator[tuple]:
         pos, previous = pos + HEADER + size, seq
 
 
+def append(log: bytes, payloads: list[bytes]) -> tuple[bytes, list[int]]:
+    """Reopen a log and append: the whole new log, and the sequence numbers that the payloads got.
+
+    Numbers go on from the last valid frame; what follows it (padding, or a torn frame) is overwritten.
+    """
+    rows = list(scan(log))
+    end, last = rows[-1][0], max((r[3] for r in rows if r[5] == "ok"), default=0)
+    frames = []
+    for seq, payload in enumerate(payloads, last + 1):
+        if len(payload) > MAX_PAYLOAD:
+            raise ValueError("payload too large")
+        body = struct.pack("<IQ", len(payload), seq) + payload
+        frames.append(struct.pack("<I", zlib.crc32(body)) + body)
+    return padded([log[:end], *frames]), list(range(last + 1, last + 1 + len(payloads)))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

@@ -18,6 +18,7 @@ from .manifest import Manifest, Run, Version
 from .model import CHANGE, DELETE, PUT, validated
 from .operators.runs import L0_TRIGGER
 from .operators.versions import multi_get, newest
+from .sources import wal
 
 
 class KVTable:
@@ -33,11 +34,14 @@ class KVTable:
     # Writes
 
     def write(self, changes: DataFrame, batch_id: int | None = None) -> Version:
-        """Flush a batch of changes as one run and compact if it is time.  A batch_id that was applied is skipped."""
+        """Flush a batch of changes as one run and compact if it is time.
+
+        Batch ids rise, as a stream's do: one up to the greatest applied is skipped, and only that one is kept.
+        """
         base = self.manifest.read()
-        if batch_id is not None and batch_id in base.batches:
+        if batch_id is not None and base.batches and batch_id <= max(base.batches):
             return base
-        batches = list(base.batches) + ([batch_id] if batch_id is not None else [])
+        batches = list(base.batches) if batch_id is None else [batch_id]
         run = self._run(validated(changes), base.next_run, 0)
         version = self.manifest.commit(base, list(base.runs) + ([run] if run else []), batches)
         if sum(r.level == 0 for r in version.runs) >= self.trigger:
@@ -50,9 +54,27 @@ class KVTable:
     def delete(self, rows: list[tuple[bytes, int]]) -> Version:
         return self.write(self.spark.createDataFrame([(k, s, DELETE, None) for k, s in rows], CHANGE))
 
+    def recover(self, logs: DataFrame) -> Version:
+        """Flush what the logs hold (rows of the binaryFile source): of each its longest valid prefix.
+
+        Changes carry their writers' sequence numbers, so those that an earlier flush has already change nothing.
+        """
+        return self.write(wal.replay(logs).select("key", "seq", "op", "value"))
+
     def _run(self, log: DataFrame, run_id: int, level: int) -> Run | None:
-        """Write a run sorted by (key, seq descending), with min/max statistics and a Bloom filter on the key."""
-        path = f"runs/{run_id}-{uuid.uuid4().hex[:8]}"
+        """Write a run sorted by (key, seq descending), with min/max statistics and a Bloom filter on the key.
+
+        The input is computed once and staged: counts, range sampling and the sorted write read the staged rows.
+        """
+        path, staged = f"runs/{run_id}-{uuid.uuid4().hex[:8]}", f"{self.root}/staging/{uuid.uuid4().hex}"
+        log.select("key", "seq", "op", "value").write.parquet(staged)
+        try:
+            return self._sorted(self.spark.read.schema(CHANGE).parquet(staged), path, run_id, level)
+        finally:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _sorted(self, log: DataFrame, path: str, run_id: int, level: int) -> Run | None:
         n = log.count()
         if n == 0:
             return None

@@ -40,6 +40,36 @@ def test_regression_and_sector_boundary():
     assert sum(r[5] == "ok" for r in wal.scan(wal.padded(many))) == 4097
 
 
+def test_flipped_lengths_end_the_prefix(spark, tmp_path):
+    """A damaged length is any u32; the reader keeps the prefix, also through the data source."""
+    data = b"".join(frames(50, "rec-{}"))
+    for bit in range(32):
+        d = bytearray(data)
+        d[21 * 3 + 4 + bit // 8] ^= 1 << bit % 8
+        rows = list(wal.scan(bytes(d)))
+        assert [r[3] for r in rows[:-1]] == [1, 2, 3] and rows[-1][5] in ("bad_length", "bad_crc", "truncated")
+    d[21 * 3 + 4 : 21 * 3 + 8] = b"\xff" * 4
+    (tmp_path / "log").write_bytes(bytes(d))
+    wal.register(spark)
+    got = spark.read.format("wal_frames").option("path", str(tmp_path / "log")).load().orderBy("pos").collect()
+    assert [r["status"] for r in got] == ["ok"] * 3 + ["bad_length"] and got[-1]["len"] == 2**32 - 1
+    large = next(wal.scan(frames(1, "x" * (2 << 20))[0]))
+    assert large[5] == "ok" and len(large[4]) == 2 << 20
+
+
+def test_append_goes_on_after_reopening():
+    log, seqs = wal.append(b"", [b"a", b"b"])
+    assert seqs == [1, 2] and len(log) == wal.SECTOR
+    log, seqs = wal.append(log, [b"c"])
+    assert seqs == [3] and [r[4] for r in wal.scan(log) if r[5] == "ok"] == [b"a", b"b", b"c"]
+    torn = log.rstrip(b"\0")[:-1]
+    log, seqs = wal.append(torn, [b"d"])
+    assert seqs == [3] and [r[4] for r in wal.scan(log) if r[5] == "ok"] == [b"a", b"b", b"d"]
+    assert wal.append(log, [])[1] == []
+    with pytest.raises(ValueError):
+        wal.append(b"", [b"x" * (1 << 20)])
+
+
 def test_any_damage_leaves_a_prefix():
     rnd = random.Random(5)
     good = [r[4] for r in wal.scan(b"".join(frames(60))) if r[5] == "ok"]
