@@ -43,11 +43,12 @@ class Scratch:
                     path.getFileSystem(conf).delete(path, True)
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner", nulls: bool = True) -> DataFrame:
     """rows joined ("inner" or "left") with keyed, which has one row for each key and counts the key's rows in column ``n``.
 
     Keys with more than a part in HOT of all rows are broadcast (fewer than HOT rows), and rows without a
-    key are not dealt; so whatever the shuffle deals to one task has at most that part.  n is dropped.
+    key are not dealt; so whatever the shuffle deals to one task has at most that part.  nulls: whether there
+    may be such rows; without them rows are read once less.  n is dropped.
     """
     hot = F.col("n") * HOT > total
     few = keyed.where(hot).select(F.col(key).alias("_hot"))
@@ -55,5 +56,6 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: st
     many = rows.join(hits, F.col(key) == hits["_hot"], "left").withColumn("_hot", F.col("_hot").isNotNull())
     by_broadcast = rows.join(F.broadcast(keyed.where(hot).drop("n")), key)
     rest = many.where(~F.col("_hot")).drop("_hot")
-    out = by_broadcast.unionByName(rest.where(F.col(key).isNotNull()).join(keyed.where(~hot).drop("n"), key, how))
-    return out.unionByName(rest.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+    dealt = rest.where(F.col(key).isNotNull()) if nulls else rest
+    out = by_broadcast.unionByName(dealt.join(keyed.where(~hot).drop("n"), key, how))
+    return out.unionByName(rest.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" and nulls else out

@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     p = p.select("*", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
     # Digests are counted with map-side combine; hot ones are broadcast in the join back.
     first = p.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    p = join_by_key(p, first, "digest", pages.count(), "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    p = join_by_key(p, first, "digest", pages.count(), "left", nulls=False).withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
     return p.select("page_id", "url", "html", "digest", "size", "refers_to").mapInPandas(_archive(folder), CAPTURE)
 
 
