@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .ranges import range_bucket
+from .ranges import ranged, totals_before
 
 DRAIN = 16
 
@@ -19,14 +19,10 @@ def positions(df: DataFrame, order: Column) -> DataFrame:
 
     Rows are dealt into ranges; each range numbers its own and adds the rows before it.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_o", order)
-    ranged = keyed.withColumn("_p", range_bucket(keyed, "_o", parts))
-    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row for each range
-    base = [sum(n for p, n in sizes.items() if p < k) for k in range(parts)]
-    before = F.element_at(F.array(*(F.lit(b).cast("long") for b in base)), F.col("_p") + 1)
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
-    return numbered.withColumn("position", F.col("_rn") + before).drop("_o", "_p", "_rn")
+    rows = ranged(df, order)
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
+    placed = numbered.join(F.broadcast(totals_before(rows, [], F.lit(1))), "_p")  # one row for each range
+    return placed.select(*df.columns, (F.col("_rn") + F.col("_before")).alias("position"))
 
 
 def fifo_batches(items: DataFrame, offset: Column, batch: int = DRAIN) -> DataFrame:
@@ -35,9 +31,21 @@ def fifo_batches(items: DataFrame, offset: Column, batch: int = DRAIN) -> DataFr
     return p.withColumn("batch_id", F.floor((F.col("position") - 1) / batch).cast("long"))
 
 
+def _by_range(rows: DataFrame, ranges: DataFrame, shard: str) -> DataFrame:
+    """rows with the columns of their shard's range; a null shard is one of its own."""
+    r = ranges.withColumnsRenamed({shard: "_shard", "_p": "_range"})
+    return rows.join(r, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_p") == F.col("_range")))
+
+
 def assign_seq(df: DataFrame, shard: str, order: Column) -> DataFrame:
-    """Sequence numbers from 1 within each shard, in arrival order."""
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(shard).orderBy(order)).cast("long"))
+    """Sequence numbers from 1 within each shard, in arrival order.
+
+    A shard's ranges number their own rows and add the shard's rows before them, so a shard is as many tasks as there are ranges.
+    """
+    rows = ranged(df, order)
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(shard, "_p").orderBy("_o")))
+    placed = _by_range(numbered, totals_before(rows, [shard], F.lit(1)), shard)
+    return placed.select(*df.columns, (F.col("_rn") + F.col("_before")).alias("seq"))
 
 
 def route(df: DataFrame, key: Column, shards: int) -> DataFrame:
@@ -52,9 +60,17 @@ def replicate(routed: DataFrame, shards: int) -> DataFrame:
 
 
 def regressions(df: DataFrame, shard: str, order: Column, seq: str = "seq") -> DataFrame:
-    """Rows whose sequence number isn't greater than the one before in their shard."""
-    w = Window.partitionBy(shard).orderBy(order)
-    return df.withColumn("previous", F.lag(seq).over(w)).where(F.col(seq) <= F.col("previous"))
+    """Rows whose sequence number isn't greater than the one before in their shard.
+
+    Each range of a shard compares its own rows; its first one is held against the last of the shard's range before.
+    """
+    rows = ranged(df, order)
+    ends = rows.groupBy(shard, "_p").agg(F.max(F.struct("_o", F.col(seq).alias("_s")))["_s"].alias("_last"))
+    ends = ends.select(shard, "_p", F.lag("_last").over(Window.partitionBy(shard).orderBy("_p")).alias("_edge"))
+    w = Window.partitionBy(shard, "_p").orderBy("_o")
+    own = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_before", F.lag(seq).over(w))
+    previous = F.when(F.col("_rn") == 1, F.col("_edge")).otherwise(F.col("_before"))
+    return _by_range(own, ends, shard).select(*df.columns, previous.alias("previous")).where(F.col(seq) <= F.col("previous"))
 
 
 def queue_replay(ops: DataFrame, capacity: int) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .ranges import ranged, totals_before
 
 ENTRY_HEADER = 16  # key length, value length, seq
 MEMTABLE_ENTRY = 24
@@ -31,9 +32,20 @@ def l0_groups(runs: DataFrame, trigger: int = L0_TRIGGER) -> DataFrame:
 
 
 def run_pruning(probes: DataFrame, runs: DataFrame) -> DataFrame:
-    """How many runs' ranges hold each probe key.  The manifest is metadata: one row for each run, broadcast."""
-    hit = probes.join(F.broadcast(runs.select("run_id", "min_key", "max_key")), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")), "left")
-    return hit.groupBy("key").agg(F.count("run_id").alias("runs_touched"))
+    """How many runs' ranges hold each probe key, which is one row however often it is asked for.
+
+    One ordered pass over keys and ends of runs, by ranges: a run counts from its least key to its greatest.
+    No probe meets a run, so the work is the sum of both, not their product.
+    """
+    known = runs.where("min_key is not null and max_key is not null")
+    points = probes.select("key", F.lit(1).alias("kind"), F.lit(0).alias("step")).distinct()
+    points = points.unionByName(known.select(F.col("min_key").alias("key"), F.lit(0).alias("kind"), F.lit(1).alias("step")))
+    points = points.unionByName(known.select(F.col("max_key").alias("key"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))
+    rows = ranged(points, F.col("key"))
+    w = Window.partitionBy("_p").orderBy("_o", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_open", F.sum("step").over(w)).where("kind = 1")
+    before = totals_before(rows, [], F.col("step"))  # one row for each range
+    return swept.join(F.broadcast(before), "_p").select("key", (F.col("_open") + F.col("_before")).alias("runs_touched"))
 
 
 def resetting_groups(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:

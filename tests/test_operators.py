@@ -105,3 +105,34 @@ def test_plans_push_filters_to_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(key), EqualTo(key" in df._jdf.queryExecution().toString()
     plan = versions.latest_state(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.count("Exchange") == 1
+
+
+def test_sequences_and_regressions_over_ranges(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([0, 1, 2, 2, 2, None]), i * 3, rnd.randrange(50) if rnd.random() < 0.9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "shard int, at long, n long").repartition(5)
+    numbers, last, want_seq, want = {}, {}, {}, set()
+    for shard, at, n in rows:
+        numbers[shard] = numbers.get(shard, 0) + 1
+        want_seq[at] = numbers[shard]
+        if n is not None and last.get(shard) is not None and n <= last[shard]:
+            want.add((at, last[shard]))
+        last[shard] = n
+    assert {r["at"]: r["seq"] for r in queues.assign_seq(df, "shard", F.col("at")).collect()} == want_seq
+    assert {(r["at"], r["previous"]) for r in queues.regressions(df, "shard", F.col("at"), "n").collect()} == want
+    assert queues.assign_seq(df.limit(0), "shard", F.col("at")).count() == 0
+
+
+def test_run_pruning_against_all_pairs(spark):
+    rnd = random.Random(6)
+    key = lambda: bytes(rnd.randrange(256) for _ in range(rnd.randrange(3)))
+    spans = [(i, *sorted((key(), key()))) for i in range(60)] + [(60, None, None)]
+    asked = [key() for _ in range(200)] + [None, b"\x80", b"\x80"]
+    r = spark.createDataFrame(spans, "run_id int, min_key binary, max_key binary")
+    got = {(None if x["key"] is None else bytes(x["key"])): x["runs_touched"] for x in runs.run_pruning(spark.createDataFrame([(k,) for k in asked], "key binary"), r).collect()}
+    assert got == {k: 0 if k is None else sum(a is not None and a <= k <= b for _, a, b in spans) for k in asked}
+
+
+def test_tags(spark):
+    df = spark.createDataFrame([(-1, 255), (7, 13), (2**31 - 1, 0), (-(2**31), 1)], "fd int, op int").withColumn("t", wire.tag(F.col("fd"), F.col("op")))
+    assert [(r["fd"], r["op"]) == (r["a"], r["b"]) for r in df.select("fd", "op", wire.tag_fd(F.col("t")).alias("a"), wire.tag_op(F.col("t")).alias("b")).collect()] == [True] * 4
