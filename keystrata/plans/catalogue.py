@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from ..model import changes
+from ..model import CHANGE, changes
 from ..operators import queues, runs, versions
 from ..session import ship, work_dir
 from ..sources import sst, wal, wire
+from ..streaming.ingest import ingest
 from ..streaming.telemetry import rates
 from ..table import KVTable
-from ..workload import puts
+from ..workload import levelled, puts
 
 RUN, BANDS = 1000, 3
 
@@ -242,6 +243,51 @@ def table_state(spark, d):
     return t.scan().select(F.col("key").cast("string").alias("key"), "seq")
 
 
+def _state(live: DataFrame) -> DataFrame:
+    return live.select(F.col("key").cast("string").alias("key"), "seq")
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq FROM ({A}) {NEWEST} AND op = 'put'")
+def table_ingest(spark, d):
+    """The change log as a stream of files, each a micro-batch, flushed into a keyed table."""
+    root = work_dir(spark)
+    _binary_log(spark, d).repartition(3).write.parquet(f"{root}/changes")
+    t = KVTable.open(spark, f"{root}/table")
+    ingest(spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{root}/changes"), t, f"{root}/checkpoint").awaitTermination()
+    return _state(t.scan())
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq FROM ({A}) {NEWEST} AND op = 'put' AND key % 7 <> 0")
+def table_delete(spark, d):
+    """Deletes of every seventh key, in a run of their own, hide what an older run holds."""
+    t, log = KVTable.open(spark, work_dir(spark)), _binary_log(spark, d)
+    t.write(log)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    gone = log.where(F.col("key").cast("string").cast("long") % 7 == 0).select("key").distinct()
+    t.write(gone.select("key", F.lit(top + 1).cast("long").alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("binary").alias("value")))
+    return _state(t.scan())
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, seq FROM ({A}) WHERE seq <= 500 {NEWEST} AND op = 'put'")
+def table_pinned(spark, d):
+    """A pinned version reads as before, after a later flush, a compaction and a vacuum that keeps it."""
+    t, log = KVTable.open(spark, work_dir(spark)), _binary_log(spark, d)
+    pinned = t.write(log.where("seq <= 500")).number
+    t.write(log.where("seq > 500"))
+    t.compact()
+    t.vacuum({pinned})
+    return _state(t.scan(pinned))
+
+
+@query("SELECT 'hit' AS status, CAST(80000 AS BIGINT) AS n UNION ALL SELECT 'absent', 80000")
+def engine_workload(spark, d):
+    """Eight runs of 10,000 ordered keys with the compactions that they trigger, then look-ups of all keys and as many absent ones."""
+    t = KVTable.open(spark, work_dir(spark))
+    levelled(spark, t, 8)
+    asked = puts(spark, 80_000).select("key").unionByName(puts(spark, 80_000, prefix="x_").select("key"))
+    return t.multi_get(asked).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT CAST(key AS VARCHAR) AS key, seq, op, CASE WHEN op = 'put' THEN CAST(key AS VARCHAR) || '-' || CAST(seq AS VARCHAR) END AS value FROM ({A})")
 def sst_codec(spark, d):
     """Every run written to the sorted table format and read back."""
@@ -282,6 +328,16 @@ def map_replay(spark, d):
     return versions.map_replay(ops).select("key", "seq", F.when(F.col("op") == "insert", "put").otherwise("delete").alias("op"), "prior")
 
 
+GETS = f"SELECT key, seq, CASE WHEN seq % 5 = 0 THEN 'get' ELSE op END AS op, value FROM ({A})"
+
+
+@query(f"SELECT key, seq, CASE WHEN last.op = 'put' THEN last.value END AS prior FROM (SELECT key, seq, op, last_value(CASE WHEN op <> 'get' THEN {{'op': op, 'value': value}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ({GETS})) WHERE op = 'get'")
+def map_get(spark, d):
+    """Every fifth event only reads its key."""
+    op = F.when(F.col("seq") % 5 == 0, "get").when(F.col("op") == "put", "insert").otherwise("remove")
+    return versions.map_replay(event_log(spark, d).withColumn("op", op)).where("op = 'get'").select("key", "seq", "prior")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT user_id AS queue, event_id AS seq, CASE WHEN event_id % 3 <> 0 THEN 'push' ELSE 'pop' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 f AS (SELECT user_id AS queue, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST([] AS BIGINT[]) AS held, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS BIGINT) AS out FROM events GROUP BY user_id
@@ -332,6 +388,20 @@ def wire_roundtrip(spark, d):
     return f.select("id", "status", F.col("key").cast("string").alias("key"), F.col("val").cast("string").alias("val"))
 
 
+@query("SELECT o_orderkey AS id, 'put' AS status, CAST(NULL AS VARCHAR) AS reply FROM orders UNION ALL SELECT o_orderkey, 'echo', 'PING' || o_orderkey FROM orders")
+def wire_echo(spark, d):
+    """What follows a request and is none itself comes back as it is."""
+    raw = F.concat(wire.encode_put(F.col("o_orderkey"), F.col("o_custkey")), F.concat(F.lit("PING"), F.col("o_orderkey")).cast("binary"))
+    f = wire.decode(wire.split_frames(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))))
+    return f.select("id", "status", F.when(F.col("status") == "echo", F.col("frame").cast("string")).alias("reply"))
+
+
+@query("SELECT event_id, ((event_id % 256) << 32) | ((user_id - 40) & 4294967295) AS tag, CAST(user_id - 40 AS INTEGER) AS fd, CAST(event_id % 256 AS INTEGER) AS op FROM events")
+def tag_codec(spark, d):
+    tagged = table(spark, d, "events").select("event_id", wire.tag(F.col("user_id") - 40, F.col("event_id") % 256).alias("tag"))
+    return tagged.select("event_id", "tag", wire.tag_fd(F.col("tag")).alias("fd"), wire.tag_op(F.col("tag")).alias("op"))
+
+
 @query("SELECT c_custkey AS key, seq, CAST(floor(value) AS BIGINT) AS reply FROM customer JOIN (SELECT * FROM (" + A + ") " + NEWEST + " AND op = 'put') ON key = c_custkey")
 def wire_get(spark, d):
     state = versions.newest(event_log(spark, d)).withColumn("value", wire.be64(F.floor("value")))

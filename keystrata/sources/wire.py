@@ -50,3 +50,17 @@ def decode(frames: DataFrame, frame: str = "frame") -> DataFrame:
 def replies(gets: DataFrame) -> DataFrame:
     """What a GET answers: the value, if the lookup (status, value) is a live one of eight bytes."""
     return gets.where((F.col("status") == "hit") & (F.octet_length("value") == 8))
+
+
+def tag(fd: Column, op: Column) -> Column:
+    """A completion's tag: the descriptor in the low 32 bits, the operation in the next eight."""
+    return F.shiftleft(op.cast("long"), 32).bitwiseOR(fd.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def tag_fd(tagged: Column) -> Column:
+    low = tagged.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+
+def tag_op(tagged: Column) -> Column:
+    return F.shiftright(tagged, 32).bitwiseAND(F.lit(0xFF)).cast("int")

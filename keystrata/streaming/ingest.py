@@ -19,6 +19,13 @@ def ingest(changes: DataFrame, table: KVTable, checkpoint: str, **trigger):
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def stop(query) -> None:
+    """Flush what has arrived, then stop: nothing that the source holds by then is left outside the table."""
+    if query.isActive:
+        query.processAllAvailable()
+    query.stop()
+
+
 def live_latest(changes: DataFrame) -> DataFrame:
     """Update-mode latest version of each key; late, older versions lose by seq, so no watermark is needed."""
     best = F.max(F.struct("seq", "op", "value"))

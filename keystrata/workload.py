@@ -15,6 +15,12 @@ def puts(spark: SparkSession, n: int, prefix: str = "k_", start: int = 0) -> Dat
     return spark.range(n).select(F.concat(F.lit(prefix), digits).cast("binary").alias("key"), i.alias("seq"), F.lit("put").alias("op"), F.concat(F.lit("v_"), digits).cast("binary").alias("value"))
 
 
+def levelled(spark: SparkSession, table, runs: int = 40, rows: int = 10_000) -> None:
+    """Ordered, disjoint runs flushed one after another into a keyed table, which compacts as it fills."""
+    for i in range(runs):
+        table.write(puts(spark, rows, start=i * rows), batch_id=i)
+
+
 def wire_buffers(spark: SparkSession, clients: int = 4, batch: int = 16) -> DataFrame:
     """One receive buffer for each client: batch PUTs of key and twice the key."""
     key = F.floor(F.col("id") / batch).cast("long") * 10_000_000 + F.col("id") % batch
