@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.model import CHANGE
-from keystrata.streaming.ingest import ingest, live_latest, stateful_latest
+from keystrata.streaming.ingest import ingest, live_latest, stateful_latest, stop
 from keystrata.table import KVTable
 from keystrata.workload import puts, wire_buffers
 
@@ -113,3 +113,13 @@ def test_wire_workload(spark):
 
     rows = decode(split_frames(wire_buffers(spark))).collect()
     assert len(rows) == 64 and all(r["status"] == "put" and r["val"] == 2 * r["key"] for r in rows)
+
+
+def test_stop_flushes_what_has_arrived(spark, tmp_path):
+    puts(spark, 50).repartition(3).write.parquet(f"{tmp_path}/in")
+    t = KVTable.open(spark, f"{tmp_path}/t")
+    stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = ingest(stream, t, f"{tmp_path}/cp", processingTime="0 seconds")
+    stop(query)
+    assert not query.isActive and t.scan().count() == 50
+    stop(query)
