@@ -36,7 +36,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(edges, "links")
     seen = _sign(edges)
     while seen[0]:
-        new = scratch.table(_star(_star(edges, True), False), "links")
+        # Neither step makes more links than there are, but for one of each vertex.
+        new = scratch.table(_star(_star(edges, True), False), "links", 2 * seen[0])
         scratch.drop(edges)
         edges, last, seen = new, seen, _sign(new)
         if seen == last:

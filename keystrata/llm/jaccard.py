@@ -404,7 +404,7 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     buckets = max(parts, int(total * 0.3) // (1 << 20))
     shared = texts.mapInArrow(_prefixes(n, buckets), "bucket long, keys binary, owners binary").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
     keep = F.col("shared") >= F.ceil(F.ceil(F.col("n") * NUM / DEN) / 10)
-    candidates = scratch.table(classes.join(shared, "short").where(keep).select("cid", "n"), "candidates")
+    candidates = scratch.table(classes.join(shared, "short").where(keep).select("cid", "n"), "candidates", n_rows)
     found = candidates.count()
     named = classes.select("digest", F.col("cid").alias("component"), F.col("copies").alias("n"))
     finish = lambda named: join_by_key(profile, named, "digest", n_rows, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
@@ -427,18 +427,18 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
     ordered = ordered.join(sets.select("cid", "n"), "cid").where(F.col("shared") * DEN >= F.col("n") * NUM)
     posts = scratch.table(ordered.mapInPandas(_postings, "token long, cid long"), "posts")
     heads = posts.groupBy("token").agg(F.min("cid").alias("head"), F.count("*").alias("size")).where("size > 1")
-    posts = scratch.table(posts.join(heads.select("token", "head"), "token"), "lists")
-    cluster = scratch.table(components(posts.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")), scratch).withColumnsRenamed({"id": "cid", "component": "cluster"}), "clusters")
+    posts = scratch.table(posts.join(heads.select("token", "head"), "token"), "lists", size)
+    cluster = scratch.table(components(posts.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")), scratch).withColumnsRenamed({"id": "cid", "component": "cluster"}), "clusters", found)
     sizes = cluster.join(sets.select("cid", "n"), "cid").groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     sized = cluster.join(sizes, "cluster")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     dealt = sized.select("cid", "cluster", "blocks", F.explode(salts).alias("salt")).withColumn("block", F.pmod(F.xxhash64("cid", "salt"), F.col("blocks")).cast("int"))
     links = dealt.join(sets.select("cid", "hashes"), "cid").groupBy("cluster", "salt", "block").applyInPandas(_tree_join, "u long, v long")
     links = scratch.table(links, "found")
-    big = scratch.table(sized.where("blocks > 1").select("cid", "cluster", "blocks"), "big")
+    big = scratch.table(sized.where("blocks > 1").select("cid", "cluster", "blocks"), "big", found)
     label = components(links, scratch).withColumnsRenamed({"id": "cid", "component": "label"})
     if not big.isEmpty():
-        label = scratch.table(label, "label")
+        label = scratch.table(label, "label", found)
         grids = big.where(F.col("blocks") <= GRID).select(F.col("cluster").alias("token"), "cid")
         lists = posts.join(big.where(F.col("blocks") > GRID).select("cid"), "cid", "left_semi").select("token", "cid")
         more = scratch.table(_rest(grids, sets, label, scratch).unionByName(_rest(lists, sets, label, scratch)), "more")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import removed_at_end, shared_dir, ship
 
+FILE_ROWS = 1 << 20  # rows of a file, at the least, where the number of rows is known to be bounded
 HOT = 200  # a key is hot if it has more than this part of all rows, so there are fewer hot keys than this
 
 
@@ -26,9 +27,15 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         removed_at_end(spark, self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and reread: cuts lineage, and survives the loss of any executor."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and reread: cuts lineage, and survives the loss of any executor.
+
+        rows: a bound of df's rows, where it is known and the rows are small.  Then there are no more files than
+        ``FILE_ROWS`` asks for, or one for each core if that is more, instead of one for each shuffle partition.
+        """
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
