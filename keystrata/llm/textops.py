@@ -12,7 +12,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 
 
@@ -165,7 +165,7 @@ def tidy() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
     """Consecutive parts of a batch with about size bytes of the column in each, one row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
     _, offsets = buffers(texts)
