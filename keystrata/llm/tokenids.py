@@ -1,9 +1,10 @@
 """Token ids in a fixed-width bit-packed file format with random access.
 
-File: ``KSIDS001``, then per block of ``BLOCK_IDS`` ids the packed bits (little-endian bit
+File: ``KSIDS002``, then per block of ``BLOCK_IDS`` ids the packed bits (little-endian bit
 order, padded to a byte), then a footer: document ids (int64), ids in each document
-(int64), byte offset of each block (int64), and a fixed tail of six int64 (width in bits,
-documents, ids, blocks, offset of the footer, CRC-32 of the footer) and the magic again.
+(int64), byte offset of each block (int64), and a fixed tail of seven int64 (width in bits,
+documents, how many of them, the first ones, have a null id, ids, blocks, offset of the footer,
+CRC-32 of the footer and these six) and the magic again.
 The width is the least that holds every id of the vocabulary.  Id k lies in block
 k // BLOCK_IDS at bit (k % BLOCK_IDS) * width, so any range is read with one seek.
 
@@ -17,7 +18,9 @@ letter and ASCII punctuation other than an apostrophe, so the ids of a text are
 pieces in a row.  Texts that hold one of the tokenizer's added tokens go through it whole.
 
 Null and empty texts have the end id only.  Equal doc_ids stay side by side, in the order
-of a hash of their texts; null doc_ids come first.
+of a hash of their texts; null doc_ids come first.  Ranges are cut by doc_id and that hash, so
+one doc_id of many texts, or none, spreads over tasks.  A text has no greatest length; a worker
+holds a text and its ids at once.  Other columns are ignored; an empty table has no files.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .textops import _BASE, _CODE, _INVERSE, CHUNK, SPACE, _cuts, _power, buffers, mix, slices
 
-MAGIC = b"KSIDS001"
+MAGIC = b"KSIDS002"
 BLOCK_IDS = 1 << 16
 END_ID = 1
 KEPT_PIECES = 1 << 21
@@ -81,9 +84,12 @@ class IdWriter:
         self.blocks: list[int] = []
         self.rest = np.zeros(0, np.uint32)
         self.ids = 0
+        self.nulls = 0
         stream.write(MAGIC)
 
-    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, nulls: int = 0) -> None:
+        """nulls: how many of the documents, the first ones, have no id; the file has none with an id before them."""
+        self.nulls += nulls
         self.docs.append(doc_ids.astype(np.int64))
         self.sizes.append(sizes.astype(np.int64))
         self.ids += len(ids)
@@ -105,8 +111,8 @@ class IdWriter:
         none = [np.zeros(0, np.int64)]
         docs, sizes = np.concatenate(self.docs or none), np.concatenate(self.sizes or none)
         footer = docs.tobytes() + sizes.tobytes() + np.array(self.blocks, np.int64).tobytes()
-        tail = np.array([self.width, len(docs), self.ids, len(self.blocks), self.at, zlib.crc32(footer)], np.int64)
-        self.stream.write(footer + tail.tobytes() + MAGIC)
+        tail = np.array([self.width, len(docs), self.nulls, self.ids, len(self.blocks), self.at], np.int64).tobytes()
+        self.stream.write(footer + tail + np.int64(zlib.crc32(footer + tail)).tobytes() + MAGIC)
         self.stream.close()
 
 
@@ -117,14 +123,14 @@ class IdReader:
         self.stream = stream
         stream.seek(0, 2)
         size = stream.tell()
-        stream.seek(size - 56)
-        tail = stream.read(56)
-        if tail[48:] != MAGIC:
+        stream.seek(size - 64)
+        tail = stream.read(64)
+        if tail[56:] != MAGIC:
             raise ValueError("not a file of packed ids")
-        self.width, n, self.n_ids, blocks, at, crc = (int(x) for x in np.frombuffer(tail[:48], np.int64))
+        self.width, n, self.nulls, self.n_ids, blocks, at, crc = (int(x) for x in np.frombuffer(tail[:56], np.int64))
         stream.seek(at)
         footer = stream.read(16 * n + 8 * blocks)
-        if zlib.crc32(footer) != crc:
+        if zlib.crc32(footer + tail[:48]) != crc:
             raise ValueError("the footer of a file of packed ids is damaged")
         self.doc_ids = np.frombuffer(footer, np.int64, n)
         self.sizes = np.frombuffer(footer, np.int64, n, 8 * n)
@@ -283,23 +289,23 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 ids, sizes = coder.encode(part.column("text"))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids.astype(np.uint32), ends, end_id)
-                docs = part.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                low = docs[0] if low is None else low
-                writer.add(docs, sizes + 1, ids)
+                docs = part.column("doc_id")
+                low = (docs[0].as_py(), part.column("h")[0].as_py()) if low is None else low
+                writer.add(docs.fill_null(0).to_numpy(zero_copy_only=False), sizes + 1, ids, docs.null_count)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(low)], pa.int64()), pa.array([writer.ids], pa.int64())], ["name", "low", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in (*low, writer.ids))], ["name", "low", "low_hash", "ids"])
 
     return run
 
 
 def write_token_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Encode and write every text in ascending doc_id order; one row for each file: name, low (first doc_id), ids."""
+    """Encode and write every text in ascending doc_id order; one row for each file: name, low and low_hash (first doc_id, hash of its text), ids."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(_write(folder, tokenizer, end_id), "name string, low long, ids long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = texts.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return ordered.mapInArrow(_write(folder, tokenizer, end_id), "name string, low long, low_hash long, ids long")
 
 
 def read_token_ids(files: DataFrame, folder: str) -> DataFrame:
@@ -318,7 +324,7 @@ def read_token_ids(files: DataFrame, folder: str) -> DataFrame:
                         cut = reader.starts[at : to + 1] - reader.starts[at]
                         crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut, cut[1:])]
                         doc = pd.array(reader.doc_ids[at:to], dtype="Int64")
-                        doc[reader.doc_ids[at:to] == -(1 << 63)] = pd.NA
+                        doc[: max(0, reader.nulls - at)] = pd.NA
                         yield pd.DataFrame({"doc_id": doc, "start": base + reader.starts[at:to], "n_tokens": reader.sizes[at:to], "ids_crc32": crc})
                         at = to
 
@@ -333,7 +339,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     written = scratch.table(write_token_ids(docs, folder, public_tokenizers.path("word_bpe_49k.json")), "written")
     # One row for each file: as many as there are partitions, whatever the documents.
-    rows = sorted(written.collect(), key=lambda r: (r["low"], r["name"]))
+    rows = sorted(written.collect(), key=lambda r: (r["low"] is not None, r["low"] or 0, r["low_hash"]))
     base, listed = 0, []
     for r in rows:
         listed.append((r["name"], base))

@@ -72,6 +72,22 @@ def test_empty_and_null_token_tables(spark, tmp_path):
     assert [(r["doc_id"], r["start"]) for r in sorted(tokenids.op6_token_ids(spark, f"{tmp_path}/n").collect(), key=lambda r: r["start"])] == [(None, 0), (1, 2), (1, 4)]
 
 
+def test_ids_of_many_texts_spread_in_order(spark, tmp_path):
+    """Half of the rows have no id, others share the least possible one: several files, starts without a gap."""
+    rows = [(None, f"w{i}") for i in range(400)] + [(-(1 << 63), f"x {i}") for i in range(200)] + [(5, None), (5, ""), (6, "y" * 70_000)]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    files = tokenids.write_token_ids(docs, f"{tmp_path}/ids", PATH).collect()
+    assert sum(r["low"] is None for r in files) > 1
+    got = sorted(tokenids.op6_token_ids(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    assert [r["doc_id"] for r in got] == [None] * 400 + [-(1 << 63)] * 200 + [5, 5, 6]
+    t = tokenizers.Tokenizer.from_file(PATH)
+    want = [(d, zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for d, x in rows]
+    key = lambda p: (p[0] is not None, p[0] or 0, p[1])
+    assert sorted(((r["doc_id"], r["ids_crc32"]) for r in got), key=key) == sorted(want, key=key)
+
+
 def pages():
     big = "<html>" + "ä" * 100 + "</html>"
     rows = [(5, "http://A.example.com/x?q=1#f", big), (2, "https://b.example.com", big), (9, "http://a.example.com/x?q=1", big), (1, None, None), (3, "http://a.example.com/", ""), (4, "http://u@a.example.com:80/ sp", "short"), (6, "http://c.org", "short"), (7, "", "y" * 100), (8, "http://c.org", "y" * 99)]
