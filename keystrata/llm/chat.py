@@ -10,7 +10,9 @@ and rendered.  Spark functions only.
 
 Turns are in order of (turn, role, text), nulls first; repeated rows all count.  Null role
 or text is the same as an empty one.  Rows whose conv_id is null form one conversation
-with a null conv_id.  Other columns are ignored.
+with a null conv_id.  A conversation has no greatest length: its hashes are a stream that
+spills, but its rendering is one string, so a task must be able to hold the longest conversation
+that is kept.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

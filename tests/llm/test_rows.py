@@ -40,6 +40,16 @@ def test_snapshots_collapse(spark):
     assert chat.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_long_and_no_conversations(spark):
+    """One conversation of 5,000 turns, its prefix, and an empty table."""
+    schema = "conv_id long, turn int, role string, text string, n_turns int"
+    long = [(1, i, "user", f"t{i}", 0) for i in range(5000)]
+    got = chat.collapse_and_render(spark.createDataFrame(long + [(2, *r[1:]) for r in long[:4000]], schema)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["copies"]) for r in got] == [(1, 5000, 1)]
+    assert got[0]["rendered"] == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(5000))
+    assert chat.collapse_and_render(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_chat_and_licence_plans_are_native(spark):
     from keystrata.llm import licenses
 

@@ -85,6 +85,13 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(odd, None, []).collect()} == {"und"}
 
 
+def test_predictions_over_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, score double")
+    for model, classes in ((None, []), (langid.Gru(2), ["a", "b"])):
+        assert langid.predict(docs, model, classes).collect() == []
+    assert quality.score(docs, (0.5, [])).collect() == []
+
+
 def test_statistics_by_hand():
     x = quality.statistics(pa.array([None, "", "a", "Ab!! cd|\nAb!! cd|\n\nx x x 12", "wörd"]))
     s = {n: x[:, i] for i, n in enumerate(quality.STATISTICS)}
